@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.common import read_table
+from foliospark.llm.ngram_join import jaccard_components
 from foliospark.llm.packing import pack
 from foliospark.llm.token_counts import token_counts
 from foliospark.llm.token_shards import shard_index
@@ -16,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark, read_table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_index(spark, read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
 
@@ -25,7 +30,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op8_token_shards, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op8_token_shards, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
