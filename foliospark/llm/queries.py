@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.common import read_table
+from foliospark.llm.lm_scores import cross_entropy_difference
 from foliospark.llm.ngram_join import jaccard_components
 from foliospark.llm.packing import pack
+from foliospark.llm.quality_rules import quality_scores, train
 from foliospark.llm.token_counts import token_counts
 from foliospark.llm.token_shards import shard_index
 
@@ -21,6 +23,17 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, read_table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the documents that are labelled good, the background all documents."""
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(spark, read_table(spark, sf_dir, "documents"), good)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_index(spark, read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
 
@@ -30,7 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op8_token_shards, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op6_lm_scores, op7_quality_classifier, op8_token_shards, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
