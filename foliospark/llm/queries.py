@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.common import read_table
 from foliospark.llm.lm_scores import cross_entropy_difference
+from foliospark.llm.media import features, store
 from foliospark.llm.ngram_join import jaccard_components
 from foliospark.llm.packing import pack
 from foliospark.llm.quality_rules import quality_scores, train
@@ -19,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(store(read_table(spark, sf_dir, "documents")))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, read_table(spark, sf_dir, "documents"), n=5, percent=75)
 
@@ -43,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op6_lm_scores, op7_quality_classifier, op8_token_shards, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media_columns, op3_ngram_jaccard_join, op6_lm_scores, op7_quality_classifier, op8_token_shards, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
