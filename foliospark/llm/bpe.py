@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import os
 import re
 import unicodedata
 
@@ -21,6 +20,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _CHUNK = re.compile(f"[^{SPACE}]+")
 _SPACED_CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: How words with ends are cut; white space between them is dropped.
+WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 CACHE_ENTRIES = 1_000_000
 CACHED_LENGTH = 64
 
@@ -67,7 +68,7 @@ class HeapBpe:
         self.last = [number.setdefault(c + self.suffix, len(number)) if c + self.suffix in model["vocab"] else -1 for c in chars]
         special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.special_re = re.compile("|".join(map(re.escape, special))) if special else None
-        self.word_re = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        self.word_re = regex.compile(WORD)
 
     def symbols(self, word: str) -> list[int]:
         raw = word.encode("utf-8")
@@ -138,46 +139,34 @@ class Cache(dict):
 class IdEncoder:
     """Ids of the tokenizers library as little-endian 32-bit bytes.
 
-    What the cache lacks of a text is encoded in one call, with a special token
-    between the chunks, and cut at that token's id.
+    A chunk that the cache lacks is cut into the vocabulary's words here, and each
+    new word is given to the library's model; a chunk that may hold a special
+    string goes through the whole library.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            special = [t for t in json.load(f)["added_tokens"] if t["special"]]
-        self.special, self.between, self.between_id = [t["content"] for t in special], special[0]["content"], special[0]["id"]
+        self.model, self.spaced = self.tokenizer.model, spaced
+        self.bytes = byte_alphabet()
+        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+" if spaced else WORD)
         self.cut = spaced_chunks_of if spaced else chunks_of
-        self.cache = Cache(self.one)
-
-    def one(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        plain = [c for c in chunks if "<|" not in c and len(c) <= CACHED_LENGTH]
-        out = {}
-        for at in range(0, len(plain), 200):
-            some = plain[at : at + 200]
-            ids = np.array(self.tokenizer.encode(self.between.join(some), add_special_tokens=False).ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)]
-            start = 0
-            for chunk, end in zip(some, ends, strict=True):
-                out[chunk] = ids[start:end].tobytes()
-                start = end + 1
-        return out
+        self.cache, self.word_cache = Cache(self.chunk), Cache(self.word)
+
+    def word(self, word: str) -> bytes:
+        symbols = word if word.isascii() and word.isalpha() else "".join([self.bytes[b] for b in word.encode("utf-8")])
+        return np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        if "<|" in chunk:
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.spaced:
+            chunk = chunk.lower() if chunk.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
+        return b"".join(map(self.word_cache.__getitem__, self.words.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
-        chunks = self.cut(text)
-        found = list(map(self.cache.get, chunks))
-        if None in found:
-            new = self.learn(list({c for c, x in zip(chunks, found, strict=True) if x is None}))
-            found = [x if x is not None else new[c] if c in new else self.one(c) for c, x in zip(chunks, found, strict=True)]
-            for c, x in new.items():
-                self.cache.put(c, x)
-        return b"".join(found)
+        return b"".join(map(self.cache.__getitem__, self.cut(text)))
 
 
 _COUNTS: dict[str, Cache] = {}

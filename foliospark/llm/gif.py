@@ -66,24 +66,48 @@ def pack_codes(frames: list[list[list[int]]]) -> list[bytes]:
     padded = -(-bits // 8) * 8
     shift = np.repeat(np.cumsum(np.r_[0, padded[:-1]]) - np.r_[0, frame_ends[:-1]], sizes)
     at = ends - w + shift
-    flat = np.zeros(int(padded.sum()), np.uint8)
-    for b in range(MOST_BITS):
-        some = w > b
-        flat[at[some] + b] = (c[some] >> b) & 1
-    data = np.packbits(flat, bitorder="little").tobytes()
+    value, byte, size = c << (at & 7), at >> 3, int(padded.sum()) // 8 + 2
+    flat = sum(np.bincount(byte + i, value >> 8 * i & 255, size) for i in range(3))  # no bit is set twice
+    data = flat.astype(np.uint8).tobytes()
     cut = np.cumsum(np.r_[0, padded // 8]).tolist()
     return [data[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The pixels of one run of codes, all entries at once.
+
+    Table entry e is the string of the run's code e and the pixel after it, so a
+    code is a copy from what its entry's code gave. Lengths and sources are
+    followed to literals by doubling.
+    """
+    entry = codes - clear - 2
+    n = np.arange(len(codes))
+    if (entry >= n).any() or ((codes >= clear) & (entry < 0)).any():
+        raise ValueError("LZW code beyond the table")
+    literal = codes < clear
+    up, length = np.where(literal, n, entry), np.where(literal, 0, 1)
+    while (step := length[up]).any():
+        length, up = length + step, up[up]
+    length += 1
+    start = np.cumsum(length) - length
+    source = np.arange(int(length.sum()))
+    source += np.repeat(np.where(literal, 0, start[np.maximum(entry, 0)] - start), length)
+    while ((further := source[source]) != source).any():
+        source = further
+    pixels = np.empty(len(source), np.uint8)
+    pixels[start[literal]] = codes[literal]
+    return pixels[source]
+
+
 def lzw_decode(data: bytes, min_bits: int, pixels: int) -> bytes:
     """Decodes any GIF code stream, up to ``pixels``; a stream that stops early is filled with zeros."""
     clear, first = 1 << min_bits, (1 << min_bits) + 2
     b = np.frombuffer(data + bytes(4), np.uint8).astype(np.int64)
-    total, at, out, size = 8 * len(data), 0, [], 0
-    literals: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
+    total, at, out = 8 * len(data), 0, []
     schedule = _WIDTHS if first == 258 else widths_of(8192, first)
-    fresh, held, prev, table = True, 0, b"", literals
-    while at < total and size < pixels:
+    run: list[np.ndarray] = []
+    held = 0
+    while at < total:
         # the codes up to the next clear code have widths known beforehand
         n = min((total - at) // (min_bits + 1) + 1, 4096)
         w = schedule[held : held + n] if held + n <= len(schedule) else np.full(n, MOST_BITS)
@@ -95,30 +119,18 @@ def lzw_decode(data: bytes, min_bits: int, pixels: int) -> bytes:
         o = start >> 3
         codes = ((b[o] | b[o + 1] << 8 | b[o + 2] << 16) >> (start & 7)) & ((1 << w) - 1)
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
-        upto = int(stop[0]) if len(stop) else len(codes)
-        if fresh:
-            table, prev, fresh = literals.copy(), b"", False
-        for c in codes[:upto].tolist():
-            if not prev:
-                entry = table[c]
-            else:
-                if c < len(table):
-                    entry = table[c]
-                elif c == len(table):
-                    entry = prev + prev[:1]
-                else:
-                    raise ValueError("LZW code beyond the table")
-                if len(table) < 4096:
-                    table.append(prev + entry[:1])
-            out.append(entry)
-            size += len(entry)
-            prev = entry
-        if len(stop):
-            if codes[upto] == clear + 1:
-                break
-            at, held, fresh = int(ends[upto]), 0, True
-        else:
+        if not len(stop):
+            run.append(codes)
             at, held = int(ends[len(w) - 1]), held + len(w)
+            continue
+        upto = int(stop[0])
+        run.append(codes[:upto])
+        out.append(_expand(np.concatenate(run), clear).tobytes())
+        run, at, held = [], int(ends[upto]), 0
+        if codes[upto] == clear + 1:
+            break
+    if run:
+        out.append(_expand(np.concatenate(run), clear).tobytes())
     return b"".join(out)[:pixels].ljust(pixels, b"\0")
 
 
@@ -172,12 +184,16 @@ class Gif:
         return out
 
 
-def encode(width: int, height: int, palette: np.ndarray, frames: list[bytes], delay: int, comment: bytes) -> bytes:
-    """Full-canvas opaque frames of 8-bit indices under one global palette; ``delay`` in hundredths of a second."""
-    parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette.astype(np.uint8).tobytes(), b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0", b"\x21\xfe", bytes([len(comment)]), comment, b"\0"]
-    head = b"\x21\xf9\x04\x04" + struct.pack("<H", delay) + b"\0\0\x2c" + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08"
-    for stream in pack_codes([lzw_codes(f) for f in frames]):
-        parts.append(head)
+def encode(width: int, palette: np.ndarray, frames: list[bytes], delay: int, comment: bytes) -> bytes:
+    """Opaque frames of 8-bit indices, all ``width`` wide and laid at the top, under one global palette.
+
+    The first is as high as the canvas, later ones may be lower; each stays when
+    the next is drawn. ``delay`` is in hundredths of a second.
+    """
+    parts = [b"GIF89a", struct.pack("<HHBBB", width, len(frames[0]) // width, 0xF7, 0, 0), palette.astype(np.uint8).tobytes(), b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0", b"\x21\xfe", bytes([len(comment)]), comment, b"\0"]
+    head = b"\x21\xf9\x04\x04" + struct.pack("<H", delay) + b"\0\0\x2c"
+    for pixels, stream in zip(frames, pack_codes([lzw_codes(f) for f in frames]), strict=True):
+        parts += [head, struct.pack("<HHHHB", 0, 0, width, len(pixels) // width, 0), b"\x08"]
         for i in range(0, len(stream), 255):
             block = stream[i : i + 255]
             parts += [bytes([len(block)]), block]

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from foliospark.llm import gif
 from foliospark.llm.common import map_batches, texts_of
 
-WIDTH = HEIGHT = 24
-UNIT = WIDTH * HEIGHT
+#: Payloads are whole units of bytes; a frame is 96 wide and, but for the last, 96 high.
+UNIT, WIDTH = 576, 96
+FRAME = WIDTH * 96
 DELAY = 10
 _I = np.arange(256)
 #: Colour of each byte: three bits of red, three of green, two of blue.
@@ -21,6 +22,9 @@ PALETTE = np.stack([(_I >> 5) * 255 // 7, (_I >> 2 & 7) * 255 // 7, (_I & 3) * 8
 #: The level of a channel's value, 0-7.
 _LEVEL = (np.arange(256) * 7 + 127) // 255
 _BLUE = (np.arange(256) * 3 + 127) // 255
+#: Which of the 20 levels each byte's colour counts for.
+_BINS = np.zeros((256, 20), np.int64)
+_BINS[_I, _I >> 5] = _BINS[_I, 8 + (_I >> 2 & 7)] = _BINS[_I, 16 + (_I & 3)] = 1
 
 
 def payload_of(text: str) -> bytes:
@@ -29,14 +33,14 @@ def payload_of(text: str) -> bytes:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, media: each text's bytes, padded with 255 to whole frames of 24 x 24, as a GIF; a null text is empty."""
+    """doc_id, media: each text's bytes, padded with 255 to whole units, as a GIF; a null text is empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text in batch.column(1).to_pylist():
             data = payload_of(text)
-            frames = [data[i : i + UNIT] for i in range(0, len(data), UNIT)]
-            out.append(gif.encode(WIDTH, HEIGHT, PALETTE, frames, DELAY, b"bytes=%d" % len(text.encode("utf-8"))))
+            frames = [data[i : i + FRAME] for i in range(0, len(data), FRAME)]
+            out.append(gif.encode(WIDTH, PALETTE, frames, DELAY, b"bytes=%d" % len(text.encode("utf-8"))))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "media"])
 
     return map_batches(texts_of(docs, id_col, text_col), run, "doc_id long, media binary")
@@ -86,8 +90,8 @@ def features(media: DataFrame) -> DataFrame:
         for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             image = gif.decode(data)
             shown = image.shown()
-            payload = indices_of(shown).tobytes()
-            h = histograms(shown).sum(0).tolist()
+            payload = b"".join(indices_of(s[f.top : f.top + f.height, f.left : f.left + f.width]).tobytes() for s, f in zip(shown, image.frames, strict=True))
+            h = (np.bincount(np.frombuffer(payload, np.uint8), minlength=256) @ _BINS).tolist()
             duration = 10 * sum(f.delay for f in image.frames)
             feature = f"frames={len(image.frames)};ms={duration};r={','.join(map(str, h[:8]))};g={','.join(map(str, h[8:16]))};b={','.join(map(str, h[16:]))}"
             row = (doc, int(image.comment.partition(b"=")[2]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(image.frames), duration)
