@@ -12,6 +12,7 @@ from foliospark.llm.media import features, store
 from foliospark.llm.ngram_join import jaccard_components
 from foliospark.llm.packing import pack
 from foliospark.llm.quality_rules import quality_scores, train
+from foliospark.llm.suffix_dedup import dedup_report, removed_spans
 from foliospark.llm.token_counts import token_counts
 from foliospark.llm.token_shards import shard_index
 
@@ -43,12 +44,16 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_index(spark, read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(removed_spans(spark, read_table(spark, sf_dir, "documents"), length=200))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, read_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=0, capacity=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media_columns, op3_ngram_jaccard_join, op6_lm_scores, op7_quality_classifier, op8_token_shards, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media_columns, op3_ngram_jaccard_join, op6_lm_scores, op7_quality_classifier, op8_token_shards, op9_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
