@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.common import read_table
+from foliospark.llm.decontaminate import leaks
+from foliospark.llm.licenses import license_scan
 from foliospark.llm.lm_scores import cross_entropy_difference
 from foliospark.llm.media import features, store
 from foliospark.llm.ngram_join import jaccard_components
@@ -29,6 +31,14 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, read_table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), similarity=0.75, recall=0.99)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"), coverage=0.75)
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is the documents that are labelled good, the background all documents."""
     good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -53,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media_columns, op3_ngram_jaccard_join, op6_lm_scores, op7_quality_classifier, op8_token_shards, op9_suffix_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media_columns, op3_ngram_jaccard_join, op4_decontaminate, op5_license_scan, op6_lm_scores, op7_quality_classifier, op8_token_shards, op9_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
