@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import map_batches, materialize, texts_of
+from foliospark.llm.common import map_batches, materialize
 from foliospark.llm.run_index import repeated_starts
 from foliospark.llm.words import _BASE, _powers, mix
 
@@ -197,26 +197,26 @@ def repeat_spans(spark: SparkSession, keyed: DataFrame, length: int, seed: int)
     return whole.unionByName(indexed).unionByName(single)
 
 
-def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A 64-bit key of id and text: rows that are the same in both share it, and what is removed."""
-    return texts_of(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
-
-
-def removed_spans(spark: SparkSession, docs: DataFrame, length: int = 200, seed: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_spans(spark: SparkSession, docs: DataFrame, length: int = 200, seed: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, spans: for each row the maximal byte spans, in order, to remove.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
     anywhere else, in its own text or another, in the input as it is; both or all
     occurrences go. A null text is empty; texts under ``length`` bytes have no
     spans; rows that repeat are each other's repeats; an empty table gives no rows.
+    carry: further columns to keep, in a struct ``carried``.
     """
-    keyed = with_key(docs, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # rows that are the same in id and text share a key, and what is removed
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
     spans = repeat_spans(spark, keyed.select("key", "text"), length, seed or length // 2)
     lists = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("found"))
+    rows = keyed.join(lists, "key", "left").select("doc_id", "text", "carried", "found")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for found in batch.column(2).to_pylist():
+        for found in batch.column(3).to_pylist():
             merged: list[list[int]] = []
             for x in found or ():
                 if merged and x["start"] <= merged[-1][1]:
@@ -224,10 +224,10 @@ def removed_spans(spark: SparkSession, docs: DataFrame, length: int = 200, seed:
                 else:
                     merged.append([x["start"], x["stop"]])
             out.append([{"start": a, "stop": b} for a, b in merged])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc_id", "text", "spans"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], names=["doc_id", "text", "carried", "spans"])
 
-    return map_batches(keyed.join(lists, "key", "left").select("doc_id", "text", "found"), merge, "doc_id long, text string, spans array<struct<start:int,stop:int>>")
+    carried = rows.schema["carried"].dataType.simpleString()
+    return map_batches(rows, merge, f"doc_id long, text string, carried {carried}, spans array<struct<start:int,stop:int>>")
 
 
 def kept_bytes(raw: bytes, spans: list[dict]) -> bytes:
@@ -244,7 +244,7 @@ def dedup_report(spans: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw = text.encode()
             rows.append((len(raw), sum(x["stop"] - x["start"] for x in found), len(found), hashlib.sha256(kept_bytes(raw, found)).hexdigest()))
         n, r, s, h = zip(*rows, strict=True)
@@ -254,10 +254,12 @@ def dedup_report(spans: DataFrame) -> DataFrame:
 
 
 def dedup_texts(spans: DataFrame) -> DataFrame:
-    """doc_id, text with the spans taken out; a character cut in two by a span goes whole."""
+    """doc_id, text with the spans taken out (a character cut in two by a span goes whole), and the carried columns."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [kept_bytes(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+        out = [kept_bytes(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("carried")], names=["doc_id", "text", "carried"])
 
-    return map_batches(spans, run, "doc_id long, text string")
+    carried = spans.schema["carried"].dataType
+    kept = map_batches(spans, run, f"doc_id long, text string, carried {carried.simpleString()}")
+    return kept.select("doc_id", "text", *(F.col("carried").getField(f.name).alias(f.name) for f in carried.fields if f.name != "none"))
