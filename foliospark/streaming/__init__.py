@@ -1,0 +1 @@
+"""Empty: the catalogue has batch operators only, and nothing of it is a stream."""
