@@ -52,13 +52,15 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` on each Arrow batch."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 4 << 20) -> DataFrame:
+    """``fn`` on slices of each Arrow batch of about ``most_bytes``, so that what it makes of them stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            n = batch.num_rows
+            step = max(1, n * most_bytes // max(1, batch.nbytes))
+            for at in range(0, n, step):
+                out = fn(batch.slice(at, step))
                 if out is not None:
                     yield out
 

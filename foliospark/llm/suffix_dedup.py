@@ -23,7 +23,7 @@ from foliospark.llm.words import _BASE, _powers, mix
 
 U = np.uint64
 #: Bytes of text looked at together, and of stretches that one index holds.
-GROUP_BYTES, INDEX_BYTES = 1 << 20, 1 << 20
+GROUP_BYTES, INDEX_BYTES = 1 << 20, 1 << 19
 #: More different stretches of one minimizer than this are compared window by window.
 INDEXED_STRETCHES = 2_000
 _BYTE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
