@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import blank_to, col, safe_colour, safe_image_url, text
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is referred to."""
+    return F.transform(F.array(value), use)[0]
+
+
 def js_round(c: Column) -> Column:
     """Halves go up."""
     return F.floor(c + 0.5)
@@ -25,18 +30,19 @@ def clamp(c: Column, lo: float, hi: float) -> Column:
 
 def hex_to_rgb(c: Column | str) -> Column:
     """struct<r,g,b> of three or six hex digits; null for anything else."""
-    h = F.regexp_replace(text(c), "^([^#]*)#", "$1")
-    h = F.when(F.length(h) == 3, F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)
-    part = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("int")
-    return F.when(h.rlike("(?i)^[0-9a-f]{6}$"), F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
+
+    def parts(h: Column) -> Column:
+        part = lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("int")
+        return F.when(h.rlike("(?i)^[0-9a-f]{6}$"), F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
+
+    digits = F.regexp_replace(text(c), "^([^#]*)#", "$1")
+    return let(let(digits, lambda h: F.when(F.length(h) == 3, F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)), parts)
 
 
 def rgba(c: Column | str, alpha: Column | float) -> Column:
-    v = hex_to_rgb(c)
     a = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
     zero = F.struct(F.lit(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
-    v = F.coalesce(v, zero)
-    return F.concat(F.lit("rgba("), F.concat_ws(",", v["r"].cast("string"), v["g"].cast("string"), v["b"].cast("string"), a.cast("string")), F.lit(")"))
+    return let(F.coalesce(hex_to_rgb(c), zero), lambda v: F.concat(F.lit("rgba("), F.concat_ws(",", v["r"].cast("string"), v["g"].cast("string"), v["b"].cast("string"), a.cast("string")), F.lit(")")))
 
 
 def to_hex(r: Column, g: Column, b: Column) -> Column:
@@ -46,20 +52,20 @@ def to_hex(r: Column, g: Column, b: Column) -> Column:
 
 def mix(a: Column | str, b: Column | str, ratio: Column | float) -> Column:
     """Between two hex colours; the first as it is where either is none."""
-    x, y = hex_to_rgb(a), hex_to_rgb(b)
     t = clamp(F.lit(float(ratio)) if isinstance(ratio, (int, float)) else ratio, 0, 1)
-    between = lambda k: x[k] + (y[k] - x[k]) * t
-    return F.when(x.isNull() | y.isNull(), col(a)).otherwise(to_hex(between("r"), between("g"), between("b")))
 
+    def mixed(v: Column) -> Column:
+        between = lambda k: v["x"][k] + (v["y"][k] - v["x"][k]) * t
+        return F.when(v["x"].isNull() | v["y"].isNull(), col(a)).otherwise(to_hex(between("r"), between("g"), between("b")))
+
+    return let(F.struct(hex_to_rgb(a).alias("x"), hex_to_rgb(b).alias("y")), mixed)
 
-def luminance(c: Column | str) -> Column:
-    v = hex_to_rgb(c)
 
-    def linear(k: str) -> Column:
-        s = v[k] / 255
-        return F.when(s <= 0.03928, s / 12.92).otherwise(F.pow((s + 0.055) / 1.055, F.lit(2.4)))
+def luminance(c: Column | str) -> Column:
+    def linear(v: Column) -> Column:
+        return F.when(v / 255 <= 0.03928, v / 255 / 12.92).otherwise(F.pow((v / 255 + 0.055) / 1.055, F.lit(2.4)))
 
-    return 0.2126 * linear("r") + 0.7152 * linear("g") + 0.0722 * linear("b")
+    return let(hex_to_rgb(c), lambda v: 0.2126 * linear(v["r"]) + 0.7152 * linear(v["g"]) + 0.0722 * linear(v["b"]))
 
 
 def is_light(c: Column | str) -> Column:
@@ -69,15 +75,18 @@ def is_light(c: Column | str) -> Column:
 
 def stops(grad_stops: Column, grad_from: Column | str, grad_to: Column | str) -> Column:
     """array<struct<c,p>> by position: the valid ones of a list if two or more, else a pair."""
-    typed = F.transform(F.coalesce(grad_stops, F.array().cast("array<struct<c:string,p:double>>")), lambda s: F.struct(safe_colour(s["c"], "").alias("c"), s["p"].cast("double").alias("p")))
-    clean = F.filter(typed, lambda s: (s["c"] != "") & (s["c"] != "transparent") & s["p"].isNotNull() & ~F.isnan(s["p"]))
-    # equal positions keep their order
-    keyed = F.array_sort(F.transform(clean, lambda s, i: F.struct(s["p"].alias("p"), i.alias("i"), s["c"].alias("c"))))
+    typed = F.transform(F.coalesce(grad_stops, F.array().cast("array<struct<c:string,p:double>>")), lambda s: F.struct(safe_colour(s["c"], "").alias("c"), s["p"].try_cast("double").alias("p")))
+    valid = F.filter(typed, lambda s: (s["c"] != "") & (s["c"] != "transparent") & s["p"].isNotNull() & ~F.isnan(s["p"]))
     pair = F.array(
         F.struct(safe_colour(grad_from, "#222222").alias("c"), F.lit(0.0).alias("p")),
         F.struct(safe_colour(grad_to, "#000000").alias("c"), F.lit(100.0).alias("p")),
     )
-    return F.when(F.size(clean) >= 2, F.transform(keyed, lambda s: F.struct(s["c"].alias("c"), s["p"].alias("p")))).otherwise(pair)
+
+    def ordered(clean: Column) -> Column:  # equal positions keep their order
+        keyed = F.array_sort(F.transform(clean, lambda s, i: F.struct(s["p"].alias("p"), i.alias("i"), s["c"].alias("c"))))
+        return F.when(F.size(clean) >= 2, F.transform(keyed, lambda s: F.struct(s["c"].alias("c"), s["p"].alias("p")))).otherwise(pair)
+
+    return let(valid, ordered)
 
 
 def spread(colours: Column) -> Column:
@@ -88,31 +97,40 @@ def spread(colours: Column) -> Column:
 def weights(s: Column) -> Column:
     """For each stop, half the gap to either neighbour (all of it at the ends), 1 at least."""
 
-    def weight(x: Column, i: Column) -> Column:
-        left = F.when(i > 0, (x["p"] - F.get(s, i - 1)["p"]) / 2).otherwise(x["p"])
-        right = F.when(i < F.size(s) - 1, (F.get(s, i + 1)["p"] - x["p"]) / 2).otherwise(100 - x["p"])
-        return F.struct(hex_to_rgb(x["c"]).alias("v"), F.greatest(F.lit(1.0), left + right).alias("w"))
+    def all_of(s: Column) -> Column:
+        def weight(x: Column, i: Column) -> Column:
+            left = F.when(i > 0, (x["p"] - F.get(s, i - 1)["p"]) / 2).otherwise(x["p"])
+            right = F.when(i < F.size(s) - 1, (F.get(s, i + 1)["p"] - x["p"]) / 2).otherwise(100 - x["p"])
+            return F.struct(hex_to_rgb(x["c"]).alias("v"), F.greatest(F.lit(1.0), left + right).alias("w"))
 
-    return F.filter(F.transform(s, weight), lambda x: x["v"].isNotNull())
+        return F.filter(F.transform(s, weight), lambda x: x["v"].isNotNull())
+
+    return let(s, all_of)
 
 
 def mean_colour(s: Column) -> Column:
     """The weighted mean of a gradient as hex; null without colours."""
-    w = weights(s)
-    total = lambda f: F.aggregate(w, F.lit(0.0), lambda acc, x: acc + f(x))
-    n = total(lambda x: x["w"])
-    return F.when(n > 0, to_hex(*(total(lambda x, k=k: x["v"][k] * x["w"]) / n for k in "rgb")))
+
+    def mean(w: Column) -> Column:
+        total = lambda f: F.aggregate(w, F.lit(0.0), lambda acc, x: acc + f(x))
+        sums = F.struct(total(lambda x: x["w"]).alias("n"), *(total(lambda x, k=k: x["v"][k] * x["w"]).alias(k) for k in "rgb"))
+        return let(sums, lambda t: F.when(t["n"] > 0, to_hex(*(t[k] / t["n"] for k in "rgb"))))
+
+    return let(weights(s), mean)
 
 
 def gradient_is_dark(s: Column) -> Column:
-    mean = mean_colour(s)
-    return F.when(mean.isNull(), F.lit(True)).otherwise(~is_light(mean))
+    return let(mean_colour(s), lambda mean: F.when(mean.isNull(), F.lit(True)).otherwise(~is_light(mean)))
 
 
 def widest_gap(s: Column) -> Column:
     """Index of the first widest gap between neighbours."""
-    gaps = F.transform(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: F.get(s, i + 1)["p"] - x["p"])
-    return F.array_position(gaps, F.array_max(gaps)).cast("int") - 1
+
+    def widest(s: Column) -> Column:
+        gaps = F.transform(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: F.get(s, i + 1)["p"] - x["p"])
+        return let(gaps, lambda g: F.array_position(g, F.array_max(g)).cast("int") - 1)
+
+    return let(s, widest)
 
 
 def _number_text(c: Column) -> Column:
@@ -137,7 +155,7 @@ def background(style: Column) -> Column:
     veil = F.concat(F.lit("linear-gradient(rgba(0,0,0,"), dim, F.lit("), rgba(0,0,0,"), dim, F.lit("))"))
     return (
         F.when(style["bgType"] == "solid", made(F.lit("none"), solid, none, ~is_light(solid), no))
-        .when(style["bgType"] == "gradient", made(gradient_css(s, style["gradKind"], style["gradAngle"]), F.get(s, F.lit(0))["c"], none, gradient_is_dark(s), no))
+        .when(style["bgType"] == "gradient", let(s, lambda g: made(gradient_css(g, style["gradKind"], style["gradAngle"]), F.get(g, F.lit(0))["c"], none, gradient_is_dark(g), no)))
         .when((style["bgType"] == "image") & (source != ""), made(F.concat(veil, F.lit(', url("'), source, F.lit('")')), F.lit("#111111"), clamp(number(style["bgBlur"], 0), 0, 40), F.lit(True), F.lit(True)))
     )
 

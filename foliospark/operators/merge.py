@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import text, uid
+from foliospark.functions.text import text, trim, uid
 
 BLOCKS = ("site", "theme", "home", "feedback")
 
@@ -143,7 +143,7 @@ def set_remove(array: Column, value: Column) -> Column:
 
 def split_tags(typed: Column) -> Column:
     """Tags from a comma-separated text: trimmed, not blank, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(typed, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(typed, ","), lambda x: trim(x)), lambda x: x != ""))
 
 
 def cascade_delete(entries: DataFrame, collections: DataFrame, removed: str) -> tuple[DataFrame, DataFrame]:

@@ -50,13 +50,21 @@ BLOCKS = {"site": SITE_FIELDS, "theme": THEME_FIELDS, "home": HOME_FIELDS, "feed
 MOST_STOPS = 8
 
 
-def _type(kind) -> str:
-    return kind if isinstance(kind, str) else "struct<" + ",".join(f"`{n}`:{_type(k)}" for n, k, _ in kind) + ">"
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType()),
+    _STOPS: T.ArrayType(T.StructType([T.StructField("c", T.StringType()), T.StructField("p", T.StringType())])),
+    "array<struct<label:string,url:string>>": T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("url", T.StringType())])),
+}
 
 
-SCHEMA = T.StructType.fromDDL(
-    "version int, updatedAt string, " + ", ".join(f"`{b}` {_type(f)}" for b, f in BLOCKS.items()) + f", entries array<{_type(ENTRY_FIELDS)}>, collections array<{_type(COLLECTION_FIELDS)}>"
-)
+def _struct(fields) -> T.StructType:
+    return T.StructType([T.StructField(n, _TYPES[k] if isinstance(k, str) else _struct(k)) for n, k, _ in fields])
+
+
+SCHEMA = T.StructType([
+    T.StructField("version", T.IntegerType()), T.StructField("updatedAt", T.StringType()), *(T.StructField(b, _struct(f)) for b, f in BLOCKS.items()),
+    T.StructField("entries", T.ArrayType(_struct(ENTRY_FIELDS))), T.StructField("collections", T.ArrayType(_struct(COLLECTION_FIELDS))),
+])
 
 
 def clean_stops(stops: Column) -> Column:
@@ -156,7 +164,7 @@ def entry_texts(entries: DataFrame, who: str, base_url: str, signature: bool = T
 
 def import_texts(spark: SparkSession, path: str, today: str) -> DataFrame:
     """A draft for each .txt file with words in it: title from the name, language from the script, kind from the lines."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("raw"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("raw"))
     return import_drafts(files, today)
 
 
