@@ -67,6 +67,17 @@ def fold_report(actions: DataFrame) -> DataFrame:
     return actions.agg(*(F.count_if(F.col("action") == a).cast("long").alias(a) for a in ("kept", "updated", "deletedHere")))
 
 
+def describe_merge(kept: Column, updated: Column, settings: Column) -> Column:
+    """What a merge did, in words; settings: names of the blocks taken. Empty if it did nothing."""
+    pieces = lambda n: F.concat(n.cast("string"), F.when(n == 1, " piece").otherwise(" pieces"))
+    return F.concat_ws(
+        ", ",
+        F.when(kept > 0, F.concat(F.lit("kept "), pieces(kept), F.lit(" from your live site that this device did not have"))),
+        F.when(updated > 0, F.concat(F.lit("took the newer version of "), pieces(updated), F.lit(" edited on another device"))),
+        F.when(F.size(settings) > 0, "kept your live site settings"),
+    )
+
+
 def fold_guard(actions: DataFrame, remote: DataFrame) -> DataFrame:
     """One row: merged, remote_rows, deletedHere, safe; not safe means that nothing may be written."""
     sizes = actions.agg(F.count_if(F.col("action") != "deletedHere").cast("long").alias("merged"), F.count_if(F.col("action") == "deletedHere").cast("long").alias("deletedHere"))
