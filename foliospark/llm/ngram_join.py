@@ -3,10 +3,10 @@
 The document by n-gram incidence matrix is cut into blocks of n-gram columns.
 Each block's product with its transpose tells how many of a document's n-grams
 any other document has; a document in which that sum stays under
-ceil(t * size) has no partner and leaves. What stays is few: their pairs'
-overlaps are accumulated over the rarest n-grams of each (a pair at t or more
-must share one of those), bounded by the sizes, and the pairs that could still
-reach t are counted in full.
+ceil(t * size) has no partner and leaves. What stays is few. By their sizes, a pair
+at t or more must share one of the rarest n-grams of each; documents connected
+by those are a family. A family's incidence rows are multiplied in tiles, column
+block by column block, and each pair of tiles gives the links that connect it.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import map_batches, materialize, texts_of
+from foliospark.llm.common import map_batches, materialize, release, texts_of
 from foliospark.llm.components import components
 from foliospark.llm.words import groups_of, shingle_sets
 
 #: UTF-8 bytes of text whose n-grams make one column block, and of one row block.
-COLUMN_BLOCK_BYTES, ROW_BLOCK_BYTES = 24 << 20, 8 << 20
-#: Rounds that link documents with the first of a block, before all pairs that are left.
-STAR_ROUNDS = 3
+COLUMN_BLOCK_BYTES, ROW_BLOCK_BYTES = 12 << 20, 6 << 20
+#: Documents in a tile of a family, and n-gram columns multiplied at a time.
+TILE, COLUMNS = 512, 4096
 
 
 def set_key(s: np.ndarray) -> int:
@@ -93,6 +93,7 @@ def shared_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
         return None
 
     def product(table: pa.Table) -> pa.Table:
+        release()
         all_keys, values, owners, counted = [], [], [], []
         multi = [np.frombuffer(x, "<u4") for x in table.column("multi").to_pylist()]
         base = 0
@@ -113,7 +114,7 @@ def shared_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
         some = total > 0
         return pa.table({"key": pa.array(keys[some]), "shared": pa.array(total[some].astype("int64"))})
 
-    cut = map_batches(docs, cells, "block int, keys binary, single binary, owner binary, multi binary, counted binary")
+    cut = map_batches(docs, cells, "block int, keys binary, single binary, owner binary, multi binary, counted binary", ROW_BLOCK_BYTES)
     return cut.groupBy("block").applyInArrow(product, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
 
 
@@ -131,12 +132,76 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return map_batches(found, run, "cls long, n long, grams array<long>").dropDuplicates(["cls"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity; their overlap in full."""
-    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    other = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    overlap = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", overlap.alias("c")).where(f"100 * c >= {percent} * (na + nb - c)").select("a", "b")
+def spanning_links(own: np.ndarray, other: np.ndarray | None, n: np.ndarray, grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among the rows ``own``, or between ``own`` and ``other``, as a spanning forest of row numbers.
+
+    The product of incidence rows is accumulated over blocks of columns; columns
+    that one row alone has are left out.
+    """
+    rows = own if other is None else np.concatenate([own, other])
+    flat = np.concatenate([grams[i] for i in rows])
+    place = np.repeat(np.arange(len(rows)), [len(grams[i]) for i in rows])
+    order = np.argsort(flat, kind="stable")
+    starts, lengths = _runs(flat[order])
+    column = np.repeat(np.cumsum(lengths > 1) - 1, lengths)
+    shared = np.repeat(lengths > 1, lengths)
+    column, place = column[shared], place[order][shared]
+    half = len(own)
+    left, right = (np.arange(half), np.arange(half)) if other is None else (np.arange(half), np.arange(half, len(rows)))
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 + COLUMNS, COLUMNS)) if len(column) else np.zeros(1, np.int64)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        block = np.zeros((len(rows), COLUMNS), np.float32)
+        block[place[lo:hi], column[lo:hi] % COLUMNS] = 1
+        overlap += block[left] @ block[right].T
+    sizes = n[rows].astype(np.float64)
+    close = 100 * overlap >= percent * (sizes[left][:, None] + sizes[right][None, :] - overlap)
+    full = np.zeros((len(rows), len(rows)), bool)
+    full[np.ix_(left, right)] = close
+    full |= full.T
+    np.fill_diagonal(full, True)
+    label = np.arange(len(rows))
+    while ((least := np.where(full, label[None, :], len(rows)).min(1)) != label).any():
+        label = least
+    return [(int(rows[i]), int(rows[k])) for i, k in enumerate(label.tolist()) if i != k]
+
+
+def family_links(spark: SparkSession, sets: DataFrame, families: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """a, b: links that connect what is connected within each family (node, component) of candidates.
+
+    A family is cut into tiles of about ``TILE`` rows; each pair of tiles is a
+    task's group of its own. Families of one tile share groups, by hash.
+    """
+    sized = families.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    member = sets.join(families, sets["cls"] == families["node"]).join(sized, "component").select("cls", "n", "grams", F.col("component").alias("family"), tiles.alias("tiles"))
+    tiled = member.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    paired = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    lo, hi = F.least("tile", "with"), F.greatest("tile", "with")
+    whole = F.col("tiles") == 1
+    group = F.when(whole, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(F.xxhash64("family", lo, hi))
+    ready = paired.select(group.alias("group"), "family", lo.alias("lo"), hi.alias("hi"), "tile", "cls", "n", "grams")
+
+    def product(table: pa.Table) -> pa.Table:
+        release()
+        n, cls, tile = (table.column(c).to_numpy() for c in ("n", "cls", "tile"))
+        column = table.column("grams").combine_chunks()
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+        grams = [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        keys = np.stack([table.column(c).to_numpy() for c in ("family", "lo", "hi")], 1)
+        order = np.lexsort(keys.T[::-1])
+        cut = np.flatnonzero(np.r_[True, (keys[order][1:] != keys[order][:-1]).any(1), True])
+        found = []
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            rows = order[i:j]
+            low, high = keys[rows[0], 1], keys[rows[0], 2]
+            own, other = rows[tile[rows] == low], rows[tile[rows] == high] if low != high else None
+            if len(own) and (other is None or len(other)):
+                found += spanning_links(own, other, n, grams, percent)
+        a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return pa.table({"a": pa.array(cls[a]), "b": pa.array(cls[b])})
+
+    return ready.groupBy("group").applyInArrow(product, "a long, b long")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,8 +214,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     different texts each row keeps its own set and component. An empty table
     gives no rows.
 
-    All links between different sets are accounted for, without making all pairs
-    of a group: a pair whose ends are already connected is not counted again.
+    Every pair of different sets that could be linked is counted, in tiles; of the
+    links, those that connect are kept, at most one for each row of a tile.
     """
     docs = texts_of(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -168,36 +233,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     sets = materialize(spark, kept.select("cls", "n", F.col("by_df.gram").alias("grams")), "kept-sets")
     # of the n - least + 1 rarest, those that are in one set alone come first and drop out
     prefix = F.slice("grams", 1, F.greatest(F.lit(0), F.size("grams") - least_overlap(F.col("n"), percent) + 1))
-    postings = materialize(spark, sets.select("cls", "n", F.size("grams").alias("m"), F.posexplode(prefix).alias("at", "gram")), "postings")
-
-    links = None
-    labels = None
-
-    def labelled() -> DataFrame:
-        """Postings of the n-grams that are still in more than one component."""
-        if labels is None:
-            now = postings.withColumn("comp", F.col("cls"))
-        else:
-            now = postings.join(labels, postings["cls"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-        split = now.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("cls", "comp").alias("first"), F.min_by("n", "comp").alias("first_n")).where("lo < hi")
-        return now.join(split, "gram")
-
-    for _ in range(STAR_ROUNDS):
-        star = labelled().where("comp != lo AND 100 * least(n, first_n) >= {0} * greatest(n, first_n)".format(percent))
-        best = star.groupBy("cls", "first").agg(F.count(F.lit(1)).alias("c")).groupBy("cls").agg(F.max_by("first", F.struct("c", "first")).alias("first"))
-        new = materialize(spark, linked(best.select(F.col("cls").alias("a"), F.col("first").alias("b")), sets, percent), "star-links")
-        links = new if links is None else links.unionByName(new)
-        labels = materialize(spark, components(spark, links), "labels")
-
-    open_ = materialize(spark, labelled().drop("lo", "hi", "first", "first_n"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
-    # what precedes the first common n-gram in either is not common; what follows may be
-    most = F.least(F.col("x.m") - F.col("x.at"), F.col("y.m") - F.col("y.at"))
-    bound = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), most.alias("most"))
-    pairs = bound.groupBy("a", "b").agg(F.max("most").alias("most"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(f"100 * most >= {percent} * (na + nb - most)")
-    links = links.unionByName(linked(pairs.select("a", "b"), sets, percent))
-    labels = components(spark, links)
+    postings = materialize(spark, sets.select("cls", F.explode(prefix).alias("gram")), "postings")
+    first = postings.groupBy("gram").agg(F.min("cls").alias("first"))
+    families = materialize(spark, components(spark, postings.join(first, "gram").select(F.col("cls").alias("a"), F.col("first").alias("b"))), "families")
+    buckets = max(1, -(-size // COLUMN_BLOCK_BYTES))
+    labels = components(spark, family_links(spark, sets, families, percent, buckets))
 
     of_class = classes.join(labels, classes["cls"] == labels["node"], "left").select("key", F.coalesce("component", "cls").alias("component_id"))
     return rows.join(of_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
