@@ -15,6 +15,8 @@ import unicodedata
 import numpy as np
 import regex
 
+from foliospark.llm.common import KEPT
+
 #: The white space of Unicode's White_Space property (str.split also takes \x1c-\x1f).
 SPACE = "\t-\r \x85\xa0  -     　"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -22,7 +24,8 @@ _CHUNK = re.compile(f"[^{SPACE}]+")
 _SPACED_CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: How words with ends are cut; white space between them is dropped.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
-CACHE_ENTRIES = 1_000_000
+#: Chunks in a generation of a cache, and the longest that is kept.
+CACHE_ENTRIES = 300_000
 CACHED_LENGTH = 64
 
 
@@ -118,22 +121,26 @@ class HeapBpe:
 
 
 class Cache(dict):
-    """A value for each chunk, made when first asked for; emptied at its bound."""
+    """A value for each chunk, made when first asked for.
+
+    Holds the last chunks in two generations: when the new one is full it becomes
+    the old one, whose chunks come back as they are met again.
+    """
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, chunk: str):
-        value = self.make(chunk)
-        self.put(chunk, value)
-        return value
-
-    def put(self, chunk: str, value) -> None:
+        value = self.old.get(chunk)
+        if value is None:
+            value = self.make(chunk)
         if len(chunk) <= CACHED_LENGTH:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = value
+        return value
 
 
 class IdEncoder:
@@ -169,21 +176,23 @@ class IdEncoder:
         return b"".join(map(self.cache.__getitem__, self.cut(text)))
 
 
-_COUNTS: dict[str, Cache] = {}
-_IDS: dict[tuple[str, bool], IdEncoder] = {}
+#: Name under which a worker keeps its tokenizers and their caches.
+OWNER = "tokens"
 
 
 def count_cache(path: str) -> Cache:
-    if path not in _COUNTS:
-        _COUNTS[path] = Cache(HeapBpe(path).count_chunk)
-    return _COUNTS[path]
+    kept = KEPT.setdefault(OWNER, {})
+    if path not in kept:
+        kept[path] = Cache(HeapBpe(path).count_chunk)
+    return kept[path]
 
 
 def id_encoder(path: str, spaced: bool) -> IdEncoder:
     """spaced: whether the vocabulary keeps white space, so that a chunk has what stands before it."""
-    if (path, spaced) not in _IDS:
-        _IDS[path, spaced] = IdEncoder(path, spaced)
-    return _IDS[path, spaced]
+    kept = KEPT.setdefault(OWNER, {})
+    if (path, spaced) not in kept:
+        kept[path, spaced] = IdEncoder(path, spaced)
+    return kept[path, spaced]
 
 
 def tokenizer_path(name: str) -> str:

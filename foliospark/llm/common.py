@@ -52,10 +52,24 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 4 << 20) -> DataFrame:
-    """``fn`` on slices of each Arrow batch of about ``most_bytes``, so that what it makes of them stays small."""
+#: What a worker process keeps from task to task, by owner; Spark gives a worker's next task to any operator.
+KEPT: dict[str, dict] = {}
+
+
+def release(but: str = "") -> None:
+    """Forgets what other operators have kept in this worker."""
+    for owner in [k for k in KEPT if k != but]:
+        KEPT.pop(owner).clear()
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 4 << 20, keeps: str = "") -> DataFrame:
+    """``fn`` on slices of each Arrow batch of about ``most_bytes``, so that what it makes of them stays small.
+
+    keeps: the owner in KEPT that ``fn`` uses.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
         for batch in batches:
             n = batch.num_rows
             step = max(1, n * most_bytes // max(1, batch.nbytes))

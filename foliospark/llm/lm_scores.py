@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import map_batches, materialize, texts_of
+from foliospark.llm.common import KEPT, map_batches, materialize, texts_of
 
 #: The vocabulary that both models share: the 256 bytes, of which 0 also stands before a text.
 ORDER, CELLS = 3, 1 << 24
@@ -74,9 +74,6 @@ def fit(counts: DataFrame) -> Model:
     return Model(table["gram"].to_numpy(), table["target"].to_numpy(), table["background"].to_numpy())
 
 
-_LOSSES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_bits, background_bits, difference, prefers_target.
 
@@ -95,11 +92,12 @@ def cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: D
     key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _LOSSES:
-            _LOSSES.clear()
+        kept = KEPT.setdefault("lm", {})
+        if key not in kept:
+            kept.clear()
             model = shared.value
-            _LOSSES[key] = (model.losses(model.target), model.losses(model.background))
-        target, background = _LOSSES[key]
+            kept[key] = (model.losses(model.target), model.losses(model.background))
+        target, background = kept[key]
         rows = []
         for text in batch.column(1).to_pylist():
             g = grams_of(text.encode())
@@ -108,4 +106,4 @@ def cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: D
         n, t, b = (list(x) for x in zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), pa.array([x - y for x, y in zip(t, b, strict=True)], pa.float64()), pa.array([x < y for x, y in zip(t, b, strict=True)], pa.bool_())], names=["doc_id", "n_tokens", "target_bits", "background_bits", "difference", "prefers_target"])
 
-    return map_batches(texts, run, "doc_id long, n_tokens long, target_bits double, background_bits double, difference double, prefers_target boolean")
+    return map_batches(texts, run, "doc_id long, n_tokens long, target_bits double, background_bits double, difference double, prefers_target boolean", keeps="lm")

@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, smallest
                 start += n
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return map_batches(texts_of(docs, id_col, text_col), cut, PIECES)
+    return map_batches(texts_of(docs, id_col, text_col), cut, PIECES, keeps=bpe.OWNER)
 
 
 def _fill(rows: DataFrame, level: int, salts: int, capacity: int) -> DataFrame:

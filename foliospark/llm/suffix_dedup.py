@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import map_batches, materialize
+from foliospark.llm.common import map_batches, materialize, release
 from foliospark.llm.run_index import repeated_starts
 from foliospark.llm.words import _BASE, _powers, mix
 
 U = np.uint64
 #: Bytes of text looked at together, and of stretches that one index holds.
-GROUP_BYTES, INDEX_BYTES = 1 << 20, 1 << 19
+GROUP_BYTES, INDEX_BYTES = 1 << 19, 1 << 19
 #: More different stretches of one minimizer than this are compared window by window.
 INDEXED_STRETCHES = 2_000
 _BYTE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -180,6 +180,7 @@ def repeat_spans(spark: SparkSession, keyed: DataFrame, length: int, seed: int)
     gathered = materialize(spark, map_batches(parts, gather, "shard int, key long, first int, body binary, window long"), "gathered")
 
     def index(table: pa.Table) -> pa.Table:
+        release()
         key, start, stop = [], [], []
         bodies = table.column("body").to_pylist()
         for k, first, starts in zip(table.column("key").to_pylist(), table.column("first").to_pylist(), repeated_starts(bodies, length), strict=True):

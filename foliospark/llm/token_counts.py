@@ -27,4 +27,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
         sizes = [len(t.encode("utf-8")) for t in texts]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_batches(texts_of(docs, id_col, text_col), count, SCHEMA)
+    return map_batches(texts_of(docs, id_col, text_col), count, SCHEMA, keeps=bpe.OWNER)

@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm import bpe
-from foliospark.llm.common import map_batches, new_path, texts_of
+from foliospark.llm.common import map_batches, new_path, release, texts_of
 
 #: UTF-8 bytes for each sorted partition, and ids for each block within.
 SHARD_BYTES, BLOCK_IDS = 8 << 20, 1 << 20
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 12, 2048, 8
+ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 8, 8192, 8
 
 BLOCK = "shard int, block int, doc_ids binary, doc_tokens binary, doc_symbols binary, first_rule long, rules binary, lengths binary, symbols binary"
 DOCS = "doc_id long, n_tokens long, ids_crc32 long, inside long, shard int, block int"
@@ -78,17 +78,18 @@ def compress(ids: np.ndarray, end_id: int) -> Grammar:
         starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.empty(0, "int64")
         counts = np.diff(np.r_[starts, len(pairs)])
         often = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(often):
+        if not len(often) or (rules and first + sum(map(len, rules)) == 1 << 16):
             break
-        if len(often) > RULES_PER_ROUND:
-            often = often[np.argsort(-counts[often], kind="stable")[:RULES_PER_ROUND]]
+        base = first + sum(map(len, rules))
+        room = min(RULES_PER_ROUND, (1 << 16) - base if base < 1 << 16 else RULES_PER_ROUND)  # 16 bits a symbol while they do
+        if len(often) > room:
+            often = often[np.argsort(-counts[often], kind="stable")[:room]]
         chosen = np.sort(pairs[starts[often]])
         place = np.minimum(np.searchsorted(chosen, codes), len(chosen) - 1)
         hit = np.flatnonzero(chosen[place] == codes)
         run = np.r_[True, np.diff(hit) > 1]
         since = np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
         hit = hit[since % 2 == 0]
-        base = first + sum(map(len, rules))
         seq[hit] = base + place[hit]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
@@ -139,6 +140,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release(bpe.OWNER)
         encoder = bpe.id_encoder(bpe.tokenizer_path(tokenizer), False)
         end = np.array([end_id], "<u4").tobytes()
         shard, block, held = TaskContext.get().partitionId(), 0, 0

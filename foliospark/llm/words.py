@@ -21,7 +21,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _COEFFICIENT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 #: Bytes of text hashed at a time.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
