@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import map_batches, materialize, release, texts_of
 from foliospark.llm.components import components
-from foliospark.llm.words import groups_of, shingle_sets
+from foliospark.llm.words import groups_of, mix, shingle_sets
 
 #: UTF-8 bytes of text whose n-grams make one column block, and of one row block.
 COLUMN_BLOCK_BYTES, ROW_BLOCK_BYTES = 12 << 20, 6 << 20
@@ -112,10 +112,24 @@ def shared_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
         shared = np.repeat(lengths > 1, lengths) | np.isin(value, np.unique(np.concatenate(multi)))
         total += np.bincount((pairs & np.uint64(0xFFFFFFFF)).astype("int64")[shared], minlength=len(keys))
         some = total > 0
-        return pa.table({"key": pa.array(keys[some]), "shared": pa.array(total[some].astype("int64"))})
+        keys, total = keys[some], total[some].astype("<u4")
+        bucket = (mix(keys.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        keys, total = keys[order], total[order]
+        number, cut = np.unique(bucket[order], return_index=True)
+        cut = [*cut.tolist(), len(keys)]
+        packed = [[a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for a in (keys, total)]
+        return pa.table({"bucket": pa.array(number, pa.int64()), "keys": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, number = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), "<i8"), return_inverse=True)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
+        return pa.table({"key": pa.array(keys), "shared": pa.array(np.bincount(number, weights=counts, minlength=len(keys)).astype(np.int64))})
 
     cut = map_batches(docs, cells, "block int, keys binary, single binary, owner binary, multi binary, counted binary", ROW_BLOCK_BYTES)
-    return cut.groupBy("block").applyInArrow(product, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    # a block's counts travel packed, by hash of the class, to be added up
+    packed = cut.groupBy("block").applyInArrow(product, "bucket long, keys binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(add, "key long, shared long")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
