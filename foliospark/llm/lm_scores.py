@@ -1,19 +1,36 @@
-"""Cross-entropy difference of byte n-gram models of a target and of all documents."""
+"""Cross-entropy difference of n-gram models of a target and of all documents.
+
+Word models: texts are packed into row blocks. Each row block sends the counts of
+its distinct words, contexts and bigrams to blocks of n-grams, by hash; those add
+them up and send each row block the totals of its own, in its order. So the
+models are spread over the workers and grow with the corpus, and an n-gram that is
+everywhere costs a value for each row block, not for each document.
+"""
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import KEPT, map_batches, materialize, texts_of
+from foliospark.llm.common import KEPT, map_batches, materialize, release, texts_of
+from foliospark.llm.words import groups_of, mix, words_of
 
 #: The vocabulary that both models share: the 256 bytes, of which 0 also stands before a text.
 ORDER, CELLS = 3, 1 << 24
 COUNTS = "gram int, target long, background long"
+#: UTF-8 bytes of text in a row block, and of the text whose n-grams make one block of n-grams.
+ROW_BLOCK_BYTES, GRAM_BLOCK_BYTES = 4 << 20, 12 << 20
+#: What an n-gram is, in the last two of the 56 bits of its hash.
+WORD, CONTEXT, BIGRAM = 0, 1, 2
+#: Weight of the word probabilities in a bigram's, in tokens.
+PRIOR = 4.0
+STATS = ("target_words", "background_words", "target_kinds", "background_kinds")
 
 
 def grams_of(text: bytes) -> np.ndarray:
@@ -107,3 +124,166 @@ def cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: D
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), pa.array([x - y for x, y in zip(t, b, strict=True)], pa.float64()), pa.array([x < y for x, y in zip(t, b, strict=True)], pa.bool_())], names=["doc_id", "n_tokens", "target_bits", "background_bits", "difference", "prefers_target"])
 
     return map_batches(texts, run, "doc_id long, n_tokens long, target_bits double, background_bits double, difference double, prefers_target boolean", keeps="lm")
+
+
+def text_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, n): three rows, the word, its context and both together, of every word; the words of each text.
+
+    The context is the word before; a first word has that of a mark which no word is.
+    """
+    parts, n = [np.empty((3, 0), np.uint64)], []
+    for lo, hi in groups_of(texts):
+        words = words_of(texts[lo:hi])
+        before = np.r_[np.uint64(0), words.hashes][: len(words.hashes)]
+        before[words.first[:-1][np.diff(words.first) > 0]] = 0
+        both = mix(mix(before + np.uint64(1)) + words.hashes)
+        parts.append(np.stack([(x >> np.uint64(10)) << np.uint64(2) | np.uint64(kind) for x, kind in ((words.hashes, WORD), (mix(before), CONTEXT), (both, BIGRAM))]))
+        n.append(np.diff(words.first))
+    return np.concatenate(parts, 1), np.concatenate(n) if n else np.empty(0, np.int64)
+
+
+def block_edges(grams: np.ndarray, blocks: int) -> np.ndarray:
+    """Where in sorted n-grams each block begins, and the end."""
+    block = ((grams >> np.uint64(24)) * np.uint64(blocks)) >> np.uint64(32)
+    return np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers under 2 ** 63, compressed byte place by byte place."""
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes, "zstd", asbytes=True) if len(values) else b""
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, "zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
+
+
+def row_blocks(texts: DataFrame) -> DataFrame:
+    """rows, ids, known, ends, body: the texts of a block of rows, compressed; texts: doc_id, text."""
+    made = [0]  # in this task
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t.encode() for t in batch.column(1).to_pylist()]
+        ids, known = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        out = []
+        for lo, hi in groups_of(texts, ROW_BLOCK_BYTES):
+            body = b"".join(texts[lo:hi])
+            packed = len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+            ends = np.cumsum([len(t) for t in texts[lo:hi]]).astype("<i8")
+            out.append((TaskContext.get().partitionId() << 32 | made[0], ids[lo:hi].tobytes(), known[lo:hi].tobytes(), ends.tobytes(), packed))
+            made[0] += 1
+        columns = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["rows", "ids", "known", "ends", "body"])
+
+    return map_batches(texts, run, "rows long, ids binary, known binary, ends binary, body binary", ROW_BLOCK_BYTES)
+
+
+def places(packed: DataFrame) -> DataFrame:
+    """rows, at, doc_id of every row that has an id."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = [np.flatnonzero(np.frombuffer(x, bool)) for x in batch.column(2).to_pylist()]
+        ids = [np.frombuffer(x, "<i8")[k] for x, k in zip(batch.column(1).to_pylist(), known, strict=True)]
+        rows = np.repeat(batch.column(0).to_numpy(), [len(k) for k in known])
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(known).astype(np.int32)), pa.array(np.concatenate(ids))], names=["rows", "at", "doc_id"])
+
+    return map_batches(packed.select("rows", "ids", "known"), run, "rows long, at int, doc_id long")
+
+
+def texts_in(ends: bytes, body: bytes) -> list[bytes]:
+    data, at = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True), np.r_[0, np.frombuffer(ends, "<i8")].tolist()
+    return [data[a:b] for a, b in itertools.pairwise(at)]
+
+
+def totals(marked: DataFrame, blocks: int) -> DataFrame:
+    """block, rows, n, target, background: the totals of the n-grams of each row block, in their sorted order; and STATS.
+
+    STATS, to be added up: words and kinds of words of both models, in one row of each block.
+    """
+
+    def cells(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns: list[list] = [[] for _ in range(6)]
+        for rows, targets, ends, body in zip(*(batch.column(c).to_pylist() for c in ("rows", "targets", "ends", "body")), strict=True):
+            grams, n = text_grams(texts_in(ends, body))
+            distinct, all_of = np.unique(grams.ravel(), return_counts=True)
+            target = np.zeros(len(distinct), np.int64)
+            chosen = np.zeros(len(n), bool)
+            chosen[targets or []] = True
+            found, counts = np.unique(grams[:, np.repeat(chosen, n)].ravel(), return_counts=True)
+            target[np.searchsorted(distinct, found)] = counts
+            for b, (i, j) in enumerate(itertools.pairwise(block_edges(distinct, blocks).tolist())):
+                if i < j:
+                    row = (b, rows, j - i, pack(np.diff(distinct[i:j], prepend=np.uint64(0))), pack(target[i:j]), pack(all_of[i:j]))
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[3:])], names=["block", "rows", "n", "grams", "target", "background"])
+
+    def add(table: pa.Table) -> pa.Table:
+        release()
+        sizes = table.column("n").to_pylist()
+        grams = [np.cumsum(unpack(x, k)) for x, k in zip(table.column("grams").to_pylist(), sizes, strict=True)]
+        distinct, number = np.unique(np.concatenate(grams), return_inverse=True)
+        sums = []
+        for c in ("target", "background"):
+            each = np.concatenate([unpack(x, k) for x, k in zip(table.column(c).to_pylist(), sizes, strict=True)])
+            sums.append(np.bincount(number, weights=each, minlength=len(distinct)).astype(np.int64))
+        edges = itertools.pairwise(np.cumsum([0, *sizes]).tolist())
+        back = [[pack(s[number[i:j]]) for s in sums] for i, j in edges]
+        word = (distinct & 3) == WORD
+        n = len(grams)
+        stats = [int(sums[0][word].sum()), int(sums[1][word].sum()), int((sums[0][word] > 0).sum()), int((sums[1][word] > 0).sum())]
+        first = [pa.array([s] + [0] * (n - 1), pa.int64()) for s in stats]  # once for each block
+        return pa.table([table.column("block"), table.column("rows"), table.column("n"), *(pa.array([x[k] for x in back], pa.binary()) for k in (0, 1)), *first], names=["block", "rows", "n", "target", "background", *STATS])
+
+    cut = map_batches(marked.select("rows", "targets", "ends", "body"), cells, "block int, rows long, n int, grams binary, target binary, background binary", ROW_BLOCK_BYTES)
+    return cut.groupBy("block").applyInArrow(add, "block int, rows long, n int, target binary, background binary, " + ", ".join(f"{s} long" for s in STATS))
+
+
+SCORES = "doc_id long, n_tokens long, target_bits double, background_bits double, difference double, prefers_target boolean"
+
+
+def word_cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, target_bits, background_bits, difference, prefers_target.
+
+    As ``cross_entropy_difference``, with bigram models over words (white space
+    apart, A-Z lower-cased), whose shared vocabulary is the words of all rows.
+    p(word | before) = (pairs + PRIOR * p(word)) / (contexts + PRIOR), and p(word)
+    is Witten-Bell interpolation with uniform. A first word has a context too.
+    Words and pairs are told apart by 54-bit hashes.
+    """
+    texts = texts_of(docs, id_col, text_col)
+    wanted = target_ids.select(target_ids.columns[0]).toDF("wanted").where("wanted IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
+    packed = materialize(spark, row_blocks(texts), "lm-rows")
+    chosen = places(packed).join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted")).groupBy(F.col("rows").alias("of")).agg(F.collect_list("at").alias("targets"))
+    marked = packed.join(chosen.hint("merge"), F.col("rows") == F.col("of"), "left")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks = max(1, -(-size // GRAM_BLOCK_BYTES))
+    back = materialize(spark, totals(marked, blocks), "lm-totals")
+    words = [x or 0 for x in back.agg(*(F.sum(s) for s in STATS)).first()]
+    vocabulary = max(1, words[3])
+
+    def bits(sums: np.ndarray, number: np.ndarray, all_words: int, kinds: int) -> np.ndarray:
+        """-log2 p of every word of a row block; number: the places of text_grams in the sums."""
+        word, context, pair = sums[number]
+        p = (word + kinds / vocabulary) / (all_words + kinds) if all_words else np.full(len(word), 1 / vocabulary)
+        return -np.log2((pair + PRIOR * p) / (context + PRIOR))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
+        out = []
+        order = np.argsort(right.column("block").to_numpy())
+        right = right.take(pa.array(order))
+        sizes = right.column("n").to_pylist()
+        sums = [np.concatenate([np.empty(0, np.int64), *(unpack(x, k) for x, k in zip(right.column(c).to_pylist(), sizes, strict=True))]) for c in ("target", "background")]
+        for ids, known, ends, body in zip(*(left.column(c).to_pylist() for c in ("ids", "known", "ends", "body")), strict=True):
+            grams, n = text_grams(texts_in(ends, body))
+            number = np.unique(grams.ravel(), return_inverse=True)[1].reshape(grams.shape)
+            owner, least = np.repeat(np.arange(len(n)), n), np.maximum(n, 1)
+            t, b = (np.bincount(owner, weights=bits(s, number, words[k], words[k + 2]), minlength=len(n)) / least for k, s in enumerate(sums))
+            doc_id = pa.array(np.frombuffer(ids, "<i8"), mask=~np.frombuffer(known, bool))
+            out.append(pa.table([doc_id, pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b), pa.array(t < b)], names=[x.split(" ")[0] for x in SCORES.split(", ")]))
+        return pa.concat_tables(out)
+
+    rows = packed.select("rows", "ids", "known", "ends", "body").groupBy("rows")
+    return rows.cogroup(back.select("rows", "block", "n", "target", "background").groupBy("rows")).applyInArrow(score, SCORES)

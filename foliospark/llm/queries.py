@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliospark.llm.common import read_table
 from foliospark.llm.decontaminate import leaks
 from foliospark.llm.licenses import license_scan
-from foliospark.llm.lm_scores import cross_entropy_difference
+from foliospark.llm.lm_scores import word_cross_entropy_difference
 from foliospark.llm.media import features, store
 from foliospark.llm.ngram_join import jaccard_components
 from foliospark.llm.packing import pack
@@ -42,7 +42,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is the documents that are labelled good, the background all documents."""
     good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return cross_entropy_difference(spark, read_table(spark, sf_dir, "documents"), good)
+    return word_cross_entropy_difference(spark, read_table(spark, sf_dir, "documents"), good)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
