@@ -1,4 +1,9 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment reports spans."""
+"""License scans: the rare words of a template pick candidates, banded alignment reports spans.
+
+Of any missing + k places of a template, k at least hold a word of each text that
+lacks no more than ``missing`` of its words; words between them do not matter,
+as they would for longer fingerprints.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from foliospark.llm.common import map_batches, texts_of
 from foliospark.llm.patterns import GramIndex, candidates, pattern_words
-from foliospark.llm.words import grams_of
+from foliospark.llm.words import grams_of, words_of
 
 #: Notices and opening passages of common licenses, as published.
 TEMPLATES = (
@@ -28,7 +33,9 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-GRAM, WINNOW, BAND = 3, 4, 12
+BAND = 12
+#: Words of so many letters may be fingerprints beyond those that a template needs.
+RARE = 6
 MATCH, GAP = 2, 1
 
 
@@ -74,6 +81,22 @@ def align(template: np.ndarray, words: np.ndarray, start: int, band: int) -> tup
     return matched, first, stop
 
 
+def fingerprints(text: str, missing: int) -> tuple[list[int], int]:
+    """(places, least): places of the longest words of a template, of which a text with all but ``missing`` words has ``least`` or more."""
+    raw = text.lower().encode()
+    words = words_of([raw], letters_only=True)
+    size = words.ends - words.starts
+    order = np.lexsort((np.arange(len(size)), -size))
+    number = max(missing + 1, int((size >= RARE).sum()))
+    return sorted(order[:number].tolist()), min(number, len(size)) - missing
+
+
+def may_reach(template: np.ndarray, words: np.ndarray, start: int, band: int) -> int:
+    """Words of the template that stand anywhere in the band: no alignment there matches more."""
+    place = start - band + np.arange(len(template))[:, None] + np.arange(2 * band + 1)
+    return int((words.take(place, mode="clip") == template[:, None]).any(1).sum())
+
+
 FOUND = "doc_id long, license string, template int, matched int, template_words int, coverage double, start int, stop int"
 
 
@@ -82,13 +105,21 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
 
     One row for each row of ``docs`` and template of which it holds at least
     ``coverage`` in one place (the best and first). start, stop: its bytes in the
-    lower-cased text. Words are lower-cased, punctuation aside. Null and empty
+    lower-cased text. In one place: words added and left out between matches move
+    the text by at most 12 words, or as many as may be missing. Coverage is that of
+    the best local alignment. Words are lower-cased, punctuation aside. Null and empty
     texts, and an empty table, give no rows; the templates are a parameter, sent
     with the code.
     """
     words = [pattern_words(text) for _, text in templates]
-    entries = [(min(GRAM, len(w)), int(grams[i]), p, i) for p, w in enumerate(words) if len(w) for grams in [grams_of(w, min(GRAM, len(w)))] for i in winnow(grams, WINNOW)]
-    index, slack, least = GramIndex(entries), np.full(len(words), BAND, np.int64), np.ones(len(words), np.int64)
+    needed = [int(np.ceil(coverage * len(w) - 1e-9)) for w in words]
+    entries, bands, least = [], [], []
+    for p, w in enumerate(words):
+        places, hits = fingerprints(templates[p][1], len(w) - max(1, needed[p])) if len(w) else ([], 1)
+        entries += [(1, int(grams_of(w, 1)[i]), p, i) for i in places]
+        bands.append(max(BAND, len(w) - needed[p]))
+        least.append(hits)
+    index, slack, least = GramIndex(entries), np.array(bands, np.int64), np.array(least, np.int64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_pylist()
@@ -96,11 +127,14 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
         for t, p, starts, hashes, begin, end in candidates(batch.column(1).to_pylist(), index, slack, least):
             best = (0, 0, 0)
             for s in starts:
-                found = align(words[p], hashes, s, BAND)
+                # a match's diagonal is under a band after s, the others a band to either side of it
+                if may_reach(words[p], hashes, s, 2 * bands[p]) < needed[p]:
+                    continue
+                found = align(words[p], hashes, s, 2 * bands[p])
                 if found[0] > best[0]:
                     best = found
             matched, first, stop = best
-            if matched >= coverage * len(words[p]):
+            if best[0] and matched >= needed[p]:
                 rows.append((ids[t], templates[p][0], p, matched, len(words[p]), matched / len(words[p]), int(begin[first]), int(end[stop - 1])))
         types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
         columns = list(zip(*rows, strict=True)) or [()] * 8
