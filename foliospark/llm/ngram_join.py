@@ -37,14 +37,19 @@ def least_overlap(size: Column, percent: int) -> Column:
     return F.ceil(size * percent / 100.0).cast("int")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64 bits of id and text; rows that are the same in both share it."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
 def doc_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, the set's size and its key."""
+    """doc_id, the row's key, the set's size and the set's key."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([t.encode() for t in batch.column(1).to_pylist()], n)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=["doc_id", "n", "key"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=["doc_id", "row_key", "n", "key"])
 
-    return map_batches(docs, run, "doc_id long, n long, key long")
+    return map_batches(docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))), run, "doc_id long, row_key long, n long, key long")
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,16 +138,16 @@ def shared_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The n-grams of the wanted classes (cls, key): cls, n, grams."""
+    """The n-grams of the wanted classes (key, row: a row that has the set): cls, the set's key; n, grams."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([t.encode() for t in batch.column(1).to_pylist()], n)
         right = [set_key(s) == k for s, k in zip(sets, batch.column(2).to_pylist(), strict=True)]
         sets = [s for s, r in zip(sets, right, strict=True) if r]
         grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.empty(0, "int64"), *(s.view("int64") for s in sets)])))
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(right)), pa.array([len(s) for s in sets], pa.int64()), grams], names=["cls", "n", "grams"])
+        return pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(right, pa.bool_())), pa.array([len(s) for s in sets], pa.int64()), grams], names=["cls", "n", "grams"])
 
-    found = docs.join(wanted, docs["doc_id"] == wanted["cls"]).select("doc_id", "text", "key")
+    found = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).join(wanted, F.col("row_key") == F.col("row")).select("doc_id", "text", "key")
     return map_batches(found, run, "cls long, n long, grams array<long>").dropDuplicates(["cls"])
 
 
@@ -218,25 +223,14 @@ def family_links(spark: SparkSession, sets: DataFrame, families: DataFrame, perc
     return ready.groupBy("group").applyInArrow(product, "a long, b long")
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``.
-
-    Two documents are linked when 100 * overlap >= percent * union of their sets
-    of ``n``-word shingles (fewer words: all words as one shingle; none: linked
-    with nothing, a component alone). Rows with equal sets are one class, stand
-    for each other, and are never paired. A null text is empty; of equal ids with
-    different texts each row keeps its own set and component. An empty table
-    gives no rows.
-
-    Every pair of different sets that could be linked is counted, in tiles; of the
-    links, those that connect are kept, at most one for each row of a tile.
-    """
+def jaccard_rows(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``jaccard_components``, with row_key and component: the component by the keys of its sets, null for no words."""
     docs = texts_of(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = materialize(spark, doc_sets(docs, n), "sets")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("cls"), F.min("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row"), F.min("n").alias("n"))
     counts = shared_counts(docs, n, max(1, -(-size // COLUMN_BLOCK_BYTES)))
-    wanted = materialize(spark, classes.join(counts, "key").where(F.col("shared") >= least_overlap(F.col("n"), percent)).select("cls", "key"), "wanted")
+    wanted = materialize(spark, classes.join(counts, "key").where(F.col("shared") >= least_overlap(F.col("n"), percent)).select("key", "row"), "wanted")
     full = materialize(spark, candidate_sets(docs, wanted, n), "full-sets")
 
     # n-grams that only one of them has cannot count; the others, rarest first
@@ -253,5 +247,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     buckets = max(1, -(-size // COLUMN_BLOCK_BYTES))
     labels = components(spark, family_links(spark, sets, families, percent, buckets))
 
-    of_class = classes.join(labels, classes["cls"] == labels["node"], "left").select("key", F.coalesce("component", "cls").alias("component_id"))
-    return rows.join(of_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = classes.join(labels, classes["key"] == labels["node"]).groupBy("component").agg(F.min("least_id").alias("component_id"))
+    linked = labels.join(least, "component")
+    of_class = classes.join(linked, classes["key"] == linked["node"], "left").select("key", F.coalesce("component", "key").alias("component"), F.coalesce("component_id", "least_id").alias("component_id"))
+    return rows.join(of_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row_key", "component")
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``.
+
+    Two documents are linked when 100 * overlap >= percent * union of their sets
+    of ``n``-word shingles (fewer words: all words as one shingle; none: linked
+    with nothing, a component alone). component_id: its least id, null if none of
+    its rows has one. Rows with equal sets are one class, stand for each other,
+    and are never paired. A null text is empty; of equal ids with different texts
+    each row keeps its own set and component. An empty table gives no rows.
+
+    Every pair of different sets that could be linked is counted, in tiles; of the
+    links, those that connect are kept, at most one for each row of a tile.
+    """
+    found = jaccard_rows(spark, docs, n, percent, id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id")
