@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import materialize, read_table
 from foliospark.llm.decontaminate import leaks
-from foliospark.llm.ngram_join import jaccard_components
+from foliospark.llm.ngram_join import jaccard_rows, row_key
 from foliospark.llm.packing import pack
 from foliospark.llm.quality_rules import quality_scores, train
 from foliospark.llm.suffix_dedup import dedup_texts, removed_spans
@@ -20,18 +20,27 @@ from foliospark.llm.suffix_dedup import dedup_texts, removed_spans
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, by which the stages name rows: ids may be null, or stand for several texts."""
+    return docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier predicts to be of low quality; a document without an id stays out of its training only."""
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    rejected = quality_scores(docs, model).where("predicted = 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rejected, docs["doc_id"] == rejected["doc_id"], "left_anti")
+    rows = keyed(docs)
+    rejected = quality_scores(rows, model, id_col="row_key").where("predicted = 0").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(rejected, "row_key", "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component the document with the least id; of rows with that id, one. Rows without an id leave here, for nothing later could name them."""
-    first = jaccard_components(spark, docs, n=5, percent=75).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps of each component the row with the least id (a null last); rows without words are duplicates only if the same in id and text."""
+    found = jaccard_rows(spark, docs, n=5, percent=75)
+    # a component of its own for each row without words
+    group = F.struct(F.col("component").isNull().alias("alone"), F.coalesce("component", "row_key").alias("key"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    first = found.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("row_key"))
+    return keyed(docs).join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,9 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a passage close to a benchmark item."""
-    found = materialize(spark, leaks(spark, docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    found = leaks(spark, rows, read_table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(materialize(spark, found, "leaks"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
