@@ -1,32 +1,48 @@
-"""Byte-pair merging with a heap over a linked list, and caches of encoded words.
+"""Byte-pair merging with a heap over a linked list, and tables of encoded chunks.
 
 Both tokenizer files cut a text where white space begins, so what they make of a
 text is what they make of its blank-delimited chunks, one after the other. Each
-worker therefore keeps the result for every chunk it has met, up to a bound.
+worker therefore keeps the result for every chunk it has met, up to a bound,
+and looks up the chunks of many texts at a time in numpy.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
 import unicodedata
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import regex
 
 from foliospark.llm.common import KEPT
+from foliospark.llm.words import Hashed, groups_of
 
-#: The white space of Unicode's White_Space property (str.split also takes \x1c-\x1f).
-SPACE = "\t-\r \x85\xa0  -     　"
+U = np.uint64
+
+#: The white space of Unicode's White_Space property beyond ASCII, and all of it (str.split also takes \\x1c-\\x1f).
+OTHER_SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = "\t-\r " + OTHER_SPACE
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD = re.compile(f"[{OTHER_SPACE}]")
 _CHUNK = re.compile(f"[^{SPACE}]+")
-_SPACED_CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_CUT = re.compile(rb"[^\t-\r ][\t-\r ]")
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: How words with ends are cut; white space between them is dropped.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
-#: Chunks in a generation of a cache, and the longest that is kept.
-CACHE_ENTRIES = 300_000
-CACHED_LENGTH = 64
+#: Slots of a worker's table of chunks, of which half are used; numbers that these may have together before it is emptied.
+SLOTS, KEPT_NUMBERS = 1 << 21, 1 << 22
+#: UTF-8 bytes of text whose chunks are looked up together.
+LOOKUP_BYTES = 1 << 20
+#: Words that a worker keeps the ids of, and the longest of these.
+CACHED_WORDS, CACHED_LENGTH = 200_000, 64
+#: What closes each chunk where many are cut into words together.
+MARK = "\0"
 
 
 def chunks_of(text: str) -> list[str]:
@@ -34,11 +50,6 @@ def chunks_of(text: str) -> list[str]:
     return _CHUNK.findall(text) if _ODD_SPACE.search(text) else text.split()
 
 
-def spaced_chunks_of(text: str) -> list[str]:
-    """The runs between white space, each with the white space before it."""
-    return _SPACED_CHUNK.findall(text)
-
-
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -105,48 +116,211 @@ class HeapBpe:
                 push(heap, (rule[0], h, symbols[h], c, rule[1]))
         return done
 
+    def count_word(self, word: str) -> int:
+        symbols = self.symbols(word)
+        return len(symbols) - self.merges(symbols)
+
     def count_chunk(self, chunk: str) -> int:
         """Tokens of a chunk without white space; special strings count one each."""
         total, pieces = 0, [chunk]
         if "<" in chunk and self.special_re and self.special_re.search(chunk):
             pieces = self.special_re.split(chunk)
             total = len(pieces) - 1
-        for piece in pieces:
-            text = piece.lower() if piece.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
-            for word in [text] if text.isalpha() and text.isascii() else self.word_re.findall(text):
-                symbols = self.symbols(word)
-                n = len(symbols)
-                total += n - self.merges(symbols)
-        return total
-
-
-class Cache(dict):
-    """A value for each chunk, made when first asked for.
-
-    Holds the last chunks in two generations: when the new one is full it becomes
-    the old one, whose chunks come back as they are met again.
+        return total + sum(self.count_word(w) for p in pieces for w in self.word_re.findall(folded(p)))
+
+
+def folded(text: str) -> str:
+    """NFC, then each character's lower case, whatever stands beside it."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()
+
+
+class Table:
+    """Hash -> number, open-addressed; whole arrays are looked up and added at a time. 0 is no hash."""
+
+    def __init__(self) -> None:
+        self.keys, self.values, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for one that is not there."""
+        at = (hashes >> U(20)).astype(np.int64) & (SLOTS - 1)
+        there = self.keys[at]
+        out = np.where(there == hashes, self.values[at], -1)
+        other = np.flatnonzero((there != hashes) & (there != 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (SLOTS - 1)
+            there = self.keys[at[other]]
+            same = there == hashes[other]
+            out[other[same]] = self.values[at[other[same]]]
+            other = other[~same & (there != 0)]
+        return out
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Distinct hashes that are not there, fewer than there is room for."""
+        at, left = (hashes >> U(20)).astype(np.int64) & (SLOTS - 1), np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = hashes[free]  # of several for one slot the last stays
+            won = self.keys[at[left]] == hashes[left]
+            self.values[at[left[won]]] = values[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & (SLOTS - 1)
+        self.size += len(hashes)
+
+
+def pieces_of(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of about LOOKUP_BYTES, cut where white space begins."""
+    at = 0
+    while len(raw) - at > 2 * LOOKUP_BYTES and (m := _CUT.search(raw, at + LOOKUP_BYTES)):
+        yield raw[at : m.start() + 1]
+        at = m.start() + 1
+    yield raw[at:]
+
+
+def chunk_spans(raw: list[bytes], spaced: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, starts, ends, first): the chunks of some texts, and where in them each text's begin.
+
+    Chunks are parted by ASCII white space; spaced: each has what stands before it.
+    """
+    joined = b"".join(raw) if spaced else b"\n".join(raw) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
+    begins = np.cumsum([0, *(len(r) + (not spaced) for r in raw)])
+    blank = _BLANK[data]
+    if spaced:
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:-1] = blank[1:] & ~blank[:-1]
+        begin[begins] = True
+        edges = np.flatnonzero(begin)
+        starts, ends = edges[:-1], edges[1:]
+    else:
+        edges = np.flatnonzero(np.diff(np.r_[True, blank].view(np.int8)))
+        starts, ends = edges[0::2], edges[1::2]
+    return joined, starts, ends, np.searchsorted(starts, begins)
+
+
+class WordMaker:
+    """The numbers of chunks from those of their words; all the chunks that are new are cut together.
+
+    words: the numbers of each of some words, as bytes; whole: those of a chunk that may hold a special string, or MARK.
     """
 
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make, self.old = make, {}
+    def __init__(self, pattern: str, fold: bool, words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes]) -> None:
+        self.pattern, self.fold, self.words, self.whole = regex.compile(rf"{MARK}|" + pattern.replace("[^", f"[^{MARK}")), fold, words, whole
+        self.kept: dict[str, bytes] = {}
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        joined = MARK.join(chunks) + MARK
+        if "<|" in joined or joined.count(MARK) > len(chunks) or any(map(str.isspace, chunks)):
+            odd = [i for i, c in enumerate(chunks) if "<|" in c or MARK in c or c.isspace()]
+            common = [c for c in chunks if not ("<|" in c or MARK in c or c.isspace())]
+            out = self(common) if common else []
+            for i in odd:
+                out.insert(i, self.whole(chunks[i]))
+            return out
+        if len(self.kept) > CACHED_WORDS:
+            self.kept = {}
+        words = self.pattern.findall(folded(joined) if self.fold else joined)
+        distinct = set(words)
+        distinct.discard(MARK)
+        numbers = {w: self.kept[w] for w in distinct & self.kept.keys()}
+        new = list(distinct - numbers.keys())
+        numbers.update(zip(new, self.words(new), strict=True))
+        self.kept.update((w, numbers[w]) for w in new if len(w) <= CACHED_LENGTH)
+        numbers[MARK] = b""
+        made = list(map(numbers.__getitem__, words))
+        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+        all_of = b"".join(made)
+        marks = np.fromiter((w == MARK for w in words), bool, len(words))
+        return [all_of[a:b] for a, b in itertools.pairwise([0, *ends[marks].tolist()])]
+
+
+class Chunks:
+    """The 32-bit numbers that a function makes of each chunk, looked up for whole groups of texts.
+
+    Chunks are told apart by 64-bit hashes. Those of a group are hashed and looked
+    up together; only the ones that the table lacks are made, once each. A table
+    that is half full is emptied.
+    make: the numbers of some chunks, as bytes; slow: those of a whole text, for texts with other white space.
+    """
 
-    def __missing__(self, chunk: str):
-        value = self.old.get(chunk)
-        if value is None:
-            value = self.make(chunk)
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = value
-        return value
+    def __init__(self, make: Callable[[list[str]], list[bytes]], slow: Callable[[str], bytes], spaced: bool) -> None:
+        self.make, self.slow, self.spaced = make, slow, spaced
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.store, self.used = Table(), np.empty(1 << 16, np.uint32), 0
+
+    def _values(self, joined: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Place << 32 | length in the store, of every chunk."""
+        found = self.table.find(hashes)
+        lacking = np.flatnonzero(found < 0)
+        if not len(lacking):
+            return found
+        new, first, number = np.unique(hashes[lacking], return_index=True, return_inverse=True)
+        if self.table.size and (self.table.size + len(new) > SLOTS // 2 or self.used > KEPT_NUMBERS):
+            self.clear()
+            return self._values(joined, starts, ends, hashes)
+        at = lacking[first]
+        made = self.make([joined[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        lengths = np.fromiter(map(len, made), np.int64, len(made)) >> 2
+        more = np.frombuffer(b"".join(made), "<u4")
+        if self.used + len(more) > len(self.store):
+            self.store = np.concatenate([self.store[: self.used], np.empty(max(len(more), len(self.store)), np.uint32)])
+        self.store[self.used : self.used + len(more)] = more
+        values = (self.used + np.cumsum(lengths) - lengths) << 32 | lengths
+        self.used += len(more)
+        self.table.add(new, values)
+        found[lacking] = values[number]
+        return found
+
+    def _group(self, raw: list[bytes]) -> list[np.ndarray]:
+        joined, starts, ends, first = chunk_spans(raw, self.spaced)
+        hashes = Hashed(joined).substrings(starts, ends) | U(1)
+        parts, total = [], [np.zeros(1, np.int64)]
+        for i in range(0, len(starts), SLOTS // 4):
+            j = i + SLOTS // 4
+            values = self._values(joined, starts[i:j], ends[i:j], hashes[i:j])
+            lengths = values & 0xFFFFFFFF
+            stops = np.cumsum(lengths)
+            row = np.repeat((values >> 32) - (stops - lengths), lengths)
+            row += np.arange(len(row))
+            parts.append(self.store[row])
+            total.append(stops + total[-1][-1])
+        numbers = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        edges = np.concatenate(total)[first].tolist()
+        return [numbers[a:b] for a, b in itertools.pairwise(edges)]
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The numbers of each text, in order."""
+        held: list[np.ndarray] = []
+        parts: list[bytes] = []
+        owners: list[int] = []
+        slow: dict[int, np.ndarray] = {}
+        for i, t in enumerate(texts):
+            if not t.isascii() and _ODD.search(t):
+                slow[i] = np.frombuffer(self.slow(t), "<u4")
+                continue
+            for p in pieces_of(t.encode()):
+                parts.append(p)
+                owners.append(i)
+        at = 0
+        for lo, hi in groups_of(parts, LOOKUP_BYTES):
+            for owner, numbers in zip(owners[lo:hi], self._group(parts[lo:hi]), strict=True):
+                while at < owner:
+                    yield slow[at] if at in slow else np.concatenate(held)
+                    at, held = at + 1, []
+                held.append(numbers)
+        while at < len(texts):
+            yield slow[at] if at in slow else np.concatenate(held)
+            at, held = at + 1, []
 
 
 class IdEncoder:
-    """Ids of the tokenizers library as little-endian 32-bit bytes.
+    """Ids of the tokenizers library, for whole texts at a time.
 
-    A chunk that the cache lacks is cut into the vocabulary's words here, and each
+    A chunk that the table lacks is cut into the vocabulary's words here, and each
     new word is given to the library's model; a chunk that may hold a special
     string goes through the whole library.
     """
@@ -156,34 +330,51 @@ class IdEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.spaced = self.tokenizer.model, spaced
-        self.bytes = byte_alphabet()
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+" if spaced else WORD)
-        self.cut = spaced_chunks_of if spaced else chunks_of
-        self.cache, self.word_cache = Cache(self.chunk), Cache(self.word)
-
-    def word(self, word: str) -> bytes:
-        symbols = word if word.isascii() and word.isalpha() else "".join([self.bytes[b] for b in word.encode("utf-8")])
-        return np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
-
-    def chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk:
-            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if not self.spaced:
-            chunk = chunk.lower() if chunk.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
-        return b"".join(map(self.word_cache.__getitem__, self.words.findall(chunk)))
+        self.symbols = np.array([ord(c) for c in byte_alphabet()], "<u2")
+        self.symbols[0] = ord("\n")  # closes a word
+        pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+" if spaced else WORD
+        make = WordMaker(pattern, not spaced, self.of_words, self.text)
+        self.chunks = Chunks(make, self.text, spaced)
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        raw = np.frombuffer(MARK.join(words).encode("utf-8"), np.uint8)
+        symbols = self.symbols[raw].tobytes().decode("utf-16-le").split("\n")
+        ids: list[int] = []
+        ends, tokenize = [0], self.model.tokenize
+        for s in symbols:
+            ids += [t.id for t in tokenize(s)]
+            ends.append(4 * len(ids))
+        all_of = as_bytes(ids)
+        return [all_of[a:b] for a, b in itertools.pairwise(ends)]
+
+    def text(self, text: str) -> bytes:
+        """By the whole library."""
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        return self.chunks.of(texts)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, self.cut(text)))
+        return next(self.ids([text])).tobytes()
+
+
+def as_bytes(numbers: list[int]) -> bytes:
+    return array("I", numbers).tobytes()
 
 
-#: Name under which a worker keeps its tokenizers and their caches.
+#: Name under which a worker keeps its tokenizers and their tables.
 OWNER = "tokens"
 
 
-def count_cache(path: str) -> Cache:
+def token_counter(path: str) -> Chunks:
+    """Numbers whose sum is the tokens of a text: one for each word."""
     kept = KEPT.setdefault(OWNER, {})
     if path not in kept:
-        kept[path] = Cache(HeapBpe(path).count_chunk)
+        counter = HeapBpe(path)
+        make = WordMaker(WORD, True, lambda words: [as_bytes([counter.count_word(w)]) for w in words], lambda c: as_bytes([counter.count_chunk(c)]))
+        kept[path] = Chunks(make, lambda t: as_bytes([counter.count_chunk(c) for c in chunks_of(t)]), False)
     return kept[path]
 
 

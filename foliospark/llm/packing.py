@@ -40,13 +40,13 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, smallest
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = bpe.id_encoder(bpe.tokenizer_path(tokenizer), True)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         out: list[list] = [[], [], [], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encoder.encode(text) + end
+        for doc, found in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
+            ids = np.concatenate([found, end])
             start = 0
-            for n in cut_lengths(len(ids) // 4, capacity, smallest):
-                for column, value in zip(out, (doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4), strict=True):
+            for n in cut_lengths(len(ids), capacity, smallest):
+                for column, value in zip(out, (doc, start, n, zlib.crc32(ids[start : start + n]), len(ids)), strict=True):
                     column.append(value)
                 start += n
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

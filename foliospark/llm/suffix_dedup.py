@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import map_batches, materialize, release
 from foliospark.llm.run_index import repeated_starts
-from foliospark.llm.words import _BASE, _powers, mix
+from foliospark.llm.words import Hashed, mix
 
 U = np.uint64
 #: Bytes of text looked at together, and of stretches that one index holds.
 GROUP_BYTES, INDEX_BYTES = 1 << 19, 1 << 19
 #: More different stretches of one minimizer than this are compared window by window.
 INDEXED_STRETCHES = 2_000
-_BYTE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _POSITION_BITS = U(22)
 
 
@@ -42,23 +41,6 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-class Hashed:
-    """A byte string with the polynomial hash of any of its substrings."""
-
-    def __init__(self, data: bytes) -> None:
-        self.bytes = np.frombuffer(data, np.uint8)
-        powers, self.inverse = _powers(1 << max(16, len(data).bit_length()))
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.bytes] * powers[: len(data)], out=self.total[1:])
-
-    def substrings(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts])
-
-    def every(self, length: int) -> np.ndarray:
-        n = len(self.bytes) - length + 1
-        return mix((self.total[length:] - self.total[:n]) * self.inverse[:n])
-
-
 def stretches(texts: list[bytes], length: int, seed: int) -> tuple[np.ndarray, ...]:
     """(text, first window, last window, minimizer's hash, hash of the whole stretch) of every stretch of some texts."""
     long = [i for i, t in enumerate(texts) if len(t) >= length]

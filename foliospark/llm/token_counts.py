@@ -21,9 +21,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cache = bpe.count_cache(bpe.tokenizer_path(tokenizer))
+        counter = bpe.token_counter(bpe.tokenizer_path(tokenizer))
         texts = batch.column(1).to_pylist()
-        tokens = [sum(map(cache.__getitem__, bpe.chunks_of(t))) for t in texts]
+        tokens = [int(x.sum()) for x in counter.of(texts)]
         sizes = [len(t.encode("utf-8")) for t in texts]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -1,8 +1,9 @@
 """Token-id shards in a Re-Pair grammar format, written and read as Parquet blocks.
 
 A block holds the ids of some documents, in order. Frequent adjacent pairs are
-replaced by new symbols, round after round; no pair starts at an end id, so no
-symbol reaches over the end of a document and each can be decoded alone.
+replaced by new symbols, round after round, until none is left that is frequent;
+no pair starts at an end id, so no symbol reaches over the end of a document and
+each can be decoded alone, by the number of its symbols.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,11 @@ from foliospark.llm.common import map_batches, new_path, release, texts_of
 
 #: UTF-8 bytes for each sorted partition, and ids for each block within.
 SHARD_BYTES, BLOCK_IDS = 8 << 20, 1 << 20
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 8, 8192, 8
+#: Shards whose blocks are numbered together.
+RUN_SHARDS = 1024
+#: Occurrences in a block that make a pair frequent.
+LEAST_COUNT = 8
+_U = np.uint64
 
 BLOCK = "shard int, block int, doc_ids binary, doc_tokens binary, doc_symbols binary, first_rule long, rules binary, lengths binary, symbols binary"
 DOCS = "doc_id long, n_tokens long, ids_crc32 long, inside long, shard int, block int"
@@ -42,9 +48,15 @@ class Grammar:
         out[new] = self.lengths[self.symbols[new] - self.first_rule]
         return out
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of a run of symbols; each pass opens every nonterminal once."""
-        out = symbols.astype("int64")
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Ids up to the end of each symbol."""
+        return np.cumsum(self.symbol_lengths())
+
+    @cached_property
+    def _opened(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that the rules stand for, one rule after the other, and where each one's begin."""
+        out = self.rules.ravel()
         while (new := out >= self.first_rule).any():
             at = np.cumsum(1 + new) - (1 + new)
             opened = np.empty(len(out) + int(new.sum()), "int64")
@@ -52,72 +64,110 @@ class Grammar:
             pair = self.rules[out[new] - self.first_rule]
             opened[at[new]], opened[at[new] + 1] = pair[:, 0], pair[:, 1]
             out = opened
-        return out
+        return out, np.cumsum(self.lengths) - self.lengths
+
+    def expand(self, lo: int, hi: int) -> np.ndarray:
+        """The ids of the symbols from lo to hi."""
+        symbols = self.symbols[lo:hi]
+        new = np.flatnonzero(symbols >= self.first_rule)
+        opened, starts = self._opened
+        rule = symbols[new] - self.first_rule
+        lengths = np.ones(len(symbols), "int64")
+        lengths[new] = self.lengths[rule]
+        begins = np.cumsum(lengths) - lengths
+        source = np.arange(len(symbols)) + len(opened)  # symbols that are ids stand behind what the rules stand for
+        source[new] = starts[rule]
+        at = np.repeat(source - begins, lengths)
+        at += np.arange(len(at))
+        return np.concatenate([opened, symbols])[at]
 
     def decode(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop, by the expansion lengths, without the rest."""
-        ends = np.cumsum(self.symbol_lengths())
-        lo, hi = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-        before = int(ends[lo - 1]) if lo else 0
-        return self.expand(self.symbols[lo:hi])[start - before : stop - before]
+        lo, hi = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
+        before = int(self.ends[lo - 1]) if lo else 0
+        return self.expand(lo, hi)[start - before : stop - before]
 
 
 def compress(ids: np.ndarray, end_id: int) -> Grammar:
-    """Re-Pair by rounds: the most frequent pairs of a round, up to a number, get a nonterminal each.
+    """Re-Pair by rounds: every pair that is frequent gets a nonterminal, until none is.
 
-    Where occurrences overlap, the first of a run is replaced and then every other.
+    After a round no pair of older symbols is frequent, so that only pairs with
+    one of its new symbols have to be counted for the next. Where occurrences
+    overlap, the first of a run is replaced and then every other.
     """
-    seq = ids.astype("int64")
-    first = int(seq.max(initial=end_id)) + 1
-    rules, lengths, known = [], np.empty(0, "int64"), np.ones(first, "int64")
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        codes = (seq[:-1] << 32) | seq[1:]
-        pairs = np.sort(codes[seq[:-1] != end_id])
-        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.empty(0, "int64")
-        counts = np.diff(np.r_[starts, len(pairs)])
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(often) or (rules and first + sum(map(len, rules)) == 1 << 16):
+    seq = ids.astype(np.uint64)
+    first = int(ids.max(initial=end_id)) + 1
+    place = _U(max(1, len(seq).bit_length()))
+    half = (_U(64) - place) // _U(2)
+    rules, lengths, known = [], [], np.ones(first, "int64")
+    base, at = first, np.flatnonzero(seq[:-1] != _U(end_id)).astype(np.uint64)
+    while len(at) >= LEAST_COUNT:
+        here = at.view(np.int64)
+        keys = ((seq[here] << half | seq[here + 1]) << place) | at
+        keys.sort()
+        pairs = keys >> place
+        starts, counts = _runs(pairs)
+        often = counts >= LEAST_COUNT
+        if not often.any() or base + int(often.sum()) >= 1 << int(half):
             break
-        base = first + sum(map(len, rules))
-        room = min(RULES_PER_ROUND, (1 << 16) - base if base < 1 << 16 else RULES_PER_ROUND)  # 16 bits a symbol while they do
-        if len(often) > room:
-            often = often[np.argsort(-counts[often], kind="stable")[:room]]
-        chosen = np.sort(pairs[starts[often]])
-        place = np.minimum(np.searchsorted(chosen, codes), len(chosen) - 1)
-        hit = np.flatnonzero(chosen[place] == codes)
-        run = np.r_[True, np.diff(hit) > 1]
-        since = np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        hit = hit[since % 2 == 0]
-        seq[hit] = base + place[hit]
+        inside = np.repeat(often, counts)
+        found = (keys[inside] & ((_U(1) << place) - _U(1))) << _U(24) | np.repeat(np.arange(int(often.sum()), dtype=np.uint64), counts[often])
+        found.sort()
+        where = (found >> _U(24)).view(np.int64)
+        heads, run = _runs(where - np.arange(len(where)))
+        since = np.arange(len(where)) - np.repeat(heads, run)
+        alternate = since & 1 == 0
+        where, rule = where[alternate], found[alternate] & _U((1 << 24) - 1)
+        pair = pairs[starts[often]]
+        new = np.stack([pair >> half, pair & ((_U(1) << half) - _U(1))], 1).astype("int64")
+        rules.append(new)
+        lengths.append(known[new[:, 0]] + known[new[:, 1]])
+        known = np.concatenate([known, lengths[-1]])
+        seq[where] = rule + _U(base)
+        base += len(new)
         keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
+        keep[where + 1] = False
         seq = seq[keep]
-        new = np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1)
-        rules.append(new)
-        known = np.concatenate([known, known[new[:, 0]] + known[new[:, 1]]])
-        if len(hit) < len(seq) // 200:
-            break
+        made = where - np.arange(len(where))
+        beside = np.zeros(len(seq), bool)
+        beside[made] = True
+        beside[made[made > 0] - 1] = True
+        beside[-1] = False
+        at = np.flatnonzero(beside & (seq != _U(end_id))).astype(np.uint64)
     rules = np.concatenate(rules) if rules else np.empty((0, 2), "int64")
-    return Grammar(seq, rules, known[first:], first)
+    return Grammar(seq.astype("int64"), rules, np.concatenate([np.empty(0, "int64"), *lengths]), first)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and how long it is."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    return starts, np.diff(starts, append=len(values))
 
 
 def _narrow(a: np.ndarray) -> bytes:
-    """As 16-bit or 32-bit little-endian numbers, told by a first byte."""
-    kind = "<u2" if int(a.max(initial=0)) < 1 << 16 else "<u4"
-    return bytes([int(kind[2])]) + a.astype(kind).tobytes()
+    """As little-endian numbers of 2, 3 or 4 bytes, as told by a first byte; the third byte of 3 follows the others."""
+    most = int(a.max(initial=0))
+    if most < 1 << 16:
+        return b"\2" + a.astype("<u2").tobytes()
+    if most < 1 << 24:
+        return b"\3" + (a & 0xFFFF).astype("<u2").tobytes() + (a >> 16).astype(np.uint8).tobytes()
+    return b"\4" + a.astype("<u4").tobytes()
 
 
 def _wide(b: bytes) -> np.ndarray:
+    if b[0] == 3:
+        n = len(b) // 3
+        return np.frombuffer(b, "<u2", n, 1).astype("int64") | np.frombuffer(b, np.uint8, n, 1 + 2 * n).astype("int64") << 16
     return np.frombuffer(b, f"<u{b[0]}", offset=1).astype("int64")
 
 
-def encode_block(shard: int, block: int, docs: list[int | None], ids: list[bytes], end_id: int) -> list:
-    """A row of BLOCK. A null doc id is kept as the least 64-bit number."""
-    tokens = np.array([len(x) // 4 for x in ids], "int64")
-    grammar = compress(np.frombuffer(b"".join(ids), "<u4"), end_id)
-    ends = np.searchsorted(np.cumsum(grammar.symbol_lengths()), np.cumsum(tokens)) + 1
+def encode_block(shard: int, block: int, docs: list[int | None], ids: list[np.ndarray], end_id: int) -> list:
+    """A row of BLOCK, of documents' ids with the end id. A null doc id is kept as the least 64-bit number."""
+    tokens = np.array([len(x) for x in ids], "int64")
+    grammar = compress(np.concatenate(ids), end_id)
+    ends = np.searchsorted(grammar.ends, np.cumsum(tokens)) + 1
     doc_ids = np.array([-(2**63) if d is None else d for d in docs], "<i8").tobytes()
     return [shard, block, doc_ids, _narrow(tokens), _narrow(np.diff(np.r_[0, ends])), grammar.first_rule, _narrow(grammar.rules.ravel()), _narrow(grammar.lengths), _narrow(grammar.symbols)]
 
@@ -130,7 +180,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     """Encodes all documents and writes their blocks, in ascending id order, to ``path``.
 
     The table is range-partitioned by id, so each shard is sorted and encoded by
-    itself; a task holds one block of ids at a time. Equal ids are ordered by text.
+    itself; a task holds one block of ids at a time. Equal ids are ordered by a hash
+    of their texts, by which rows of one id or without one are parted too.
     """
     texts = texts_of(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -142,9 +193,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
 
         release(bpe.OWNER)
         encoder = bpe.id_encoder(bpe.tokenizer_path(tokenizer), False)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         shard, block, held = TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         owners: list[int | None] = []
 
         def flush() -> pa.RecordBatch:
@@ -153,18 +204,19 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(encoder.encode(text) + end)
+            for doc, found in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
+                ids.append(np.concatenate([found, end]))
                 owners.append(doc)
-                held += len(ids[-1]) // 4
+                held += len(ids[-1])
                 if held >= BLOCK_IDS:
                     yield flush()
                     ids, owners, held, block = [], [], 0, block + 1
         if ids:
             yield flush()
 
-    ordered = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, BLOCK).write.parquet(path)
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = texts.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
+    ordered.mapInArrow(encode, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -175,7 +227,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         out: list[list] = [[], [], [], [], [], []]
         for row in batch.to_pylist():
             grammar = grammar_of(row)
-            ids = grammar.expand(grammar.symbols).astype("<u4").tobytes()
+            ids = grammar.expand(0, len(grammar.symbols)).astype("<u4").tobytes()
             at = 0
             owners = np.frombuffer(row["doc_ids"], "<i8").tolist()
             for doc, n in zip(owners, _wide(row["doc_tokens"]).tolist(), strict=True):
@@ -189,6 +241,36 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return map_batches(blocks, decode, DOCS)
 
 
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, ids (array) of the documents whose id is in ``wanted`` (one id column); the rest is not expanded.
+
+    A block's documents are found by their ids, and their symbols by the numbers
+    of symbols before them. An id that several rows have gives a row for each.
+    """
+    blocks = spark.read.parquet(path)
+    kind = pa.list_(pa.int64())
+
+    def places(batch: pa.RecordBatch) -> pa.RecordBatch:
+        owners = [np.frombuffer(x, "<i8") for x in batch.column(2).to_pylist()]
+        sizes = [len(x) for x in owners]
+        columns = [np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(np.concatenate([np.empty(0, "<i8"), *owners])), pa.array(np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)]), pa.int64())], names=["shard", "block", "doc_id", "at"])
+
+    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, found = [], []
+        for row in batch.to_pylist():
+            grammar, owners, ends = grammar_of(row), np.frombuffer(row["doc_ids"], "<i8"), np.cumsum(_wide(row["doc_symbols"]))
+            for k in row["at"]:
+                ids.append(int(owners[k]))
+                found.append(grammar.expand(int(ends[k - 1]) if k else 0, int(ends[k])))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, kind)], names=["doc_id", "ids"])
+
+    owned = map_batches(blocks.select("shard", "block", "doc_ids"), places, "shard int, block int, doc_id long, at long")
+    asked = wanted.select(F.col(wanted.columns[0]).cast("long").alias("doc_id")).distinct()
+    chosen = owned.join(asked, "doc_id").groupBy("shard", "block").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return map_batches(blocks.join(chosen, ["shard", "block"]), decode, "doc_id long, ids array<long>")
+
+
 def shard_index(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards, reads them back, and gives doc_id, start, n_tokens and ids_crc32 of each document.
 
@@ -204,6 +286,10 @@ def shard_index(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: in
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64())], names=["shard", "block", "n"])
 
     totals = map_batches(spark.read.parquet(path).select("shard", "block", "doc_tokens"), count, "shard int, block int, n long")
-    in_order = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    starts = totals.select("shard", "block", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
-    return found.join(starts, ["shard", "block"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    # a sum for each run of shards, of which there are few; then one for each block within its run
+    totals = totals.withColumn("run", F.expr(f"shard div {RUN_SHARDS}"))
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    runs = totals.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(ahead.orderBy("run")), F.lit(0)).alias("of_run"))
+    inside = F.coalesce(F.sum("n").over(ahead.partitionBy("run").orderBy("shard", "block")), F.lit(0))
+    starts = totals.select("run", "shard", "block", inside.alias("inside_run")).join(runs, "run").select("shard", "block", (F.col("of_run") + F.col("inside_run")).alias("before"))
+    return found.join(starts.hint("shuffle_hash"), ["shard", "block"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

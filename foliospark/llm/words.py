@@ -40,6 +40,27 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: Of each byte as it is.
+_RAW = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+
+
+class Hashed:
+    """A byte string with the 64-bit polynomial hash of any of its substrings."""
+
+    def __init__(self, data: bytes) -> None:
+        self.bytes = np.frombuffer(data, np.uint8)
+        powers, self.inverse = _powers(1 << max(16, len(data).bit_length()))
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_RAW[self.bytes] * powers[: len(data)], out=self.total[1:])
+
+    def substrings(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts])
+
+    def every(self, length: int) -> np.ndarray:
+        n = len(self.bytes) - length + 1
+        return mix((self.total[length:] - self.total[:n]) * self.inverse[:n])
+
+
 @dataclass
 class Words:
     """hashes, and the byte spans, of the words of some texts; first[i]: where text i's words begin."""

@@ -90,12 +90,23 @@ def test_random_strings_as_the_library(name, spaced):
             assert sum(map(counts.count_chunk, bpe.chunks_of(s))) == len(ids)
 
 
-def test_cache_generations(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
-    made = []
-    cache = bpe.Cache(lambda c: made.append(c) or len(c))
-    assert [cache[c] for c in ["a", "bb", "ccc", "dddd", "a", "bb"]] == [1, 2, 3, 4, 1, 2]
-    assert made == ["a", "bb", "ccc", "dddd"] and cache["x" * 100] == 100 and "x" * 100 not in cache
+@pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_groups_of_texts_as_the_library(name, spaced, monkeypatch):
+    """Groups, pieces of long texts and emptied tables, each smaller than in production."""
+    monkeypatch.setattr(bpe, "SLOTS", 256)
+    monkeypatch.setattr(bpe, "LOOKUP_BYTES", 300)
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 20)
+    rng, t = random.Random(4), library(name)
+    parts = [*WORDS, "  ", "\n\n", "\t ", "<|endoftext|>", "\x85", "\u3000", "\0", "x\0y", "é", "Σ", "it's", "", "12,5"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.choice([0, 1, 5, 40, 600]))) for _ in range(120)] + ["", " ", "z" * 2000]
+    encoder, counter = bpe.IdEncoder(bpe.tokenizer_path(name), spaced), bpe.token_counter(bpe.tokenizer_path("word_bpe_49k.json"))
+    counter.clear()
+    for _ in range(2):
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [x.tolist() for x in encoder.ids(texts)] == want
+        if not spaced:
+            assert [int(x.sum()) for x in counter.of(texts)] == list(map(len, want))
+    bpe.KEPT.clear()
 
 
 def test_media(docs, empty):
@@ -278,11 +289,22 @@ def test_token_shards(spark, docs, empty):
     assert shard_index(spark, empty, "word_bpe_49k.json", end_id=1).collect() == []
 
 
+@pytest.mark.parametrize("block_ids", [1 << 20, 300])
+def test_random_access_to_shards(spark, docs, tmp_path, monkeypatch, block_ids):
+    monkeypatch.setattr(token_shards, "BLOCK_IDS", block_ids)
+    path, t = str(tmp_path / "shards"), library("word_bpe_49k.json")
+    token_shards.write_shards(spark, docs, path, "word_bpe_49k.json", 1)
+    got = token_shards.read_documents(spark, path, spark.createDataFrame([(20,), (0,), (6,), (77,)], "doc_id long")).collect()
+    texts = dict(texts_by_id(docs))
+    assert sorted(r.doc_id for r in got) == [0, 6, 6, 20]
+    assert all(r.ids == t.encode(texts[r.doc_id], add_special_tokens=False).ids + [1] for r in got)
+
+
 def test_re_pair():
     rng = np.random.default_rng(0)
     ids = np.concatenate([np.tile(rng.integers(2, 50, 30), 200), rng.integers(2, 70_000, 5000), [5] * 999, [1]]).astype("<u4")
     g = token_shards.compress(ids, 1)
-    assert len(g.symbols) < len(ids) // 2 and (g.expand(g.symbols) == ids).all() and int(g.symbol_lengths().sum()) == len(ids)
+    assert len(g.symbols) < len(ids) // 2 and (g.expand(0, len(g.symbols)) == ids).all() and int(g.symbol_lengths().sum()) == len(ids)
     for a, b in ((0, 1), (17, 900), (5990, 6050), (len(ids) - 3, len(ids))):
         assert (g.decode(a, b) == ids[a:b]).all()
 
