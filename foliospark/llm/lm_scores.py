@@ -1,16 +1,18 @@
-"""Cross-entropy difference of n-gram models of a target and of all documents.
+"""Cross-entropy difference of matched n-gram models of a target and of all documents.
 
-Word models: texts are packed into row blocks. Each row block sends the counts of
-its distinct words, contexts and bigrams to blocks of n-grams, by hash; those add
-them up and send each row block the totals of its own, in its order. So the
-models are spread over the workers and grow with the corpus, and an n-gram that is
-everywhere costs a value for each row block, not for each document.
+Texts are packed into row blocks. Each row block sends the counts of its distinct
+words and bigrams to blocks of n-grams, by hash; those add them up and send each
+row block the totals of its own, in its order. So the models are spread over the
+workers and grow with the corpus, and an n-gram that is everywhere costs a value
+for each row block, not for each document.
+
+The models are matched: of the background, which is all documents, each count is
+taken as what is expected in a sample of the target's size. No sample is drawn.
 """
 
 from __future__ import annotations
 
 import itertools
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,133 +20,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import KEPT, map_batches, materialize, release, texts_of
+from foliospark.llm.common import map_batches, materialize, release, texts_of
 from foliospark.llm.words import groups_of, mix, words_of
 
-#: The vocabulary that both models share: the 256 bytes, of which 0 also stands before a text.
-ORDER, CELLS = 3, 1 << 24
-COUNTS = "gram int, target long, background long"
+U = np.uint64
 #: UTF-8 bytes of text in a row block, and of the text whose n-grams make one block of n-grams.
 ROW_BLOCK_BYTES, GRAM_BLOCK_BYTES = 4 << 20, 12 << 20
-#: What an n-gram is, in the last two of the 56 bits of its hash.
-WORD, CONTEXT, BIGRAM = 0, 1, 2
+#: Bits that tell n-grams of one block apart, and of any n-gram at most.
+LOCAL_BITS, MOST_BITS = 40, 62
 #: Weight of the word probabilities in a bigram's, in tokens.
 PRIOR = 4.0
-STATS = ("target_words", "background_words", "target_kinds", "background_kinds")
+STATS = ("target_kinds", "background_kinds", "vocabulary")
+#: What stands before a first word, as a hash, and the last bit of an n-gram.
+_START = U(0x5851F42D4C957F2D)
+WORD, BIGRAM = 0, 1
 
 
-def grams_of(text: bytes) -> np.ndarray:
-    """Each byte with the two before it, as a number below 2 ** 24."""
-    b = np.frombuffer(b"\0\0" + text, np.uint8).astype(np.int32)
-    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+def hash_bits(blocks: int) -> int:
+    return min(MOST_BITS, LOCAL_BITS + (blocks - 1).bit_length())
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """Counts of every trigram over all rows; docs: text, is_target.
+def text_grams(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, bigram, n): the n-grams of every word, and the words of each text; a last word is the start's.
 
-    A batch's counts are summed before they leave it, and again by Spark.
+    A bigram is the word with the one before it; a first word's is with a start that is no word.
     """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
-        for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held[bool(target)].append(grams_of(text.encode()))
-        parts = [np.unique(np.concatenate(x), return_counts=True) if x else (np.empty(0, np.int32), np.empty(0, np.int64)) for x in (held[True], held[False])]
-        grams = np.union1d(parts[0][0], parts[1][0])
-        out = np.zeros((2, len(grams)), np.int64)
-        for row, (g, n) in zip(out, parts, strict=True):
-            row[np.searchsorted(grams, g)] = n
-        return pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int32)), pa.array(out[0]), pa.array(out[0] + out[1])], names=["gram", "target", "background"])
-
-    return map_batches(docs, run, COUNTS).groupBy("gram").agg(F.sum("target").cast("long").alias("target"), F.sum("background").cast("long").alias("background"))
-
-
-class Model:
-    """Trigram counts of both models; only trigrams seen somewhere are kept, at most 2 ** 24."""
-
-    def __init__(self, grams: np.ndarray, target: np.ndarray, background: np.ndarray) -> None:
-        order = np.argsort(grams)
-        self.grams, self.target, self.background = grams[order], target[order], background[order]
-
-    def losses(self, counts: np.ndarray) -> np.ndarray:
-        """-log2 p(byte | two before) of every trigram: Witten-Bell interpolation down to uniform."""
-
-        def smoothed(table: np.ndarray, below: np.ndarray) -> np.ndarray:
-            total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            return np.where(total > 0, (table + kinds * below) / np.maximum(total + kinds, 1), below)
-
-        pairs = np.bincount(self.grams & 0xFFFF, weights=counts, minlength=1 << 16).reshape(256, 256)
-        p1 = smoothed(pairs.sum(0)[None, :], np.full((1, 256), 1 / 256))
-        p2 = smoothed(pairs, p1)
-        out = np.empty(CELLS, np.float32)
-        edges = np.searchsorted(self.grams, np.arange(257) << 16)
-        for a in range(256):  # by the first byte, to hold little at a time
-            lo, hi = edges[a], edges[a + 1]
-            table = np.bincount(self.grams[lo:hi] & 0xFFFF, weights=counts[lo:hi], minlength=1 << 16).reshape(256, 256)
-            out[a << 16 : (a + 1) << 16] = -np.log2(smoothed(table, p2)).ravel()
-        return out
-
-
-def fit(counts: DataFrame) -> Model:
-    """Brings the counts to the driver: a row for each trigram, 2 ** 24 at most however large the corpus."""
-    table = counts.toArrow()
-    return Model(table["gram"].to_numpy(), table["target"].to_numpy(), table["background"].to_numpy())
-
-
-def cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_bits, background_bits, difference, prefers_target.
-
-    The target is the rows whose id is in ``target_ids`` (one id column), the
-    background all rows; both are trigram models over bytes with one smoothing,
-    so their losses can be compared token by token. bits: mean loss of a token;
-    difference: target less background, lower is closer to the target. Empty and
-    null texts have 0 tokens and 0 bits, and do not prefer the target. Without
-    any target text the target model is uniform.
-    """
-    texts = texts_of(docs, id_col, text_col)
-    wanted = target_ids.select(target_ids.columns[0]).toDF("wanted").where("wanted IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
-    marked = texts.join(wanted, texts["doc_id"] == wanted["wanted"], "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    counts = materialize(spark, gram_counts(marked), "lm-counts")
-    shared = spark.sparkContext.broadcast(fit(counts))
-    key = uuid.uuid4().hex
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = KEPT.setdefault("lm", {})
-        if key not in kept:
-            kept.clear()
-            model = shared.value
-            kept[key] = (model.losses(model.target), model.losses(model.background))
-        target, background = kept[key]
-        rows = []
-        for text in batch.column(1).to_pylist():
-            g = grams_of(text.encode())
-            n = max(1, len(g))
-            rows.append((len(g), float(target[g].sum(dtype=np.float64)) / n, float(background[g].sum(dtype=np.float64)) / n))
-        n, t, b = (list(x) for x in zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), pa.array([x - y for x, y in zip(t, b, strict=True)], pa.float64()), pa.array([x < y for x, y in zip(t, b, strict=True)], pa.bool_())], names=["doc_id", "n_tokens", "target_bits", "background_bits", "difference", "prefers_target"])
-
-    return map_batches(texts, run, "doc_id long, n_tokens long, target_bits double, background_bits double, difference double, prefers_target boolean", keeps="lm")
-
-
-def text_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, n): three rows, the word, its context and both together, of every word; the words of each text.
-
-    The context is the word before; a first word has that of a mark which no word is.
-    """
-    parts, n = [np.empty((3, 0), np.uint64)], []
+    parts, pairs, n = [], [], []
     for lo, hi in groups_of(texts):
         words = words_of(texts[lo:hi])
-        before = np.r_[np.uint64(0), words.hashes][: len(words.hashes)]
+        before = np.r_[U(0), words.hashes][: len(words.hashes)]
         before[words.first[:-1][np.diff(words.first) > 0]] = 0
-        both = mix(mix(before + np.uint64(1)) + words.hashes)
-        parts.append(np.stack([(x >> np.uint64(10)) << np.uint64(2) | np.uint64(kind) for x, kind in ((words.hashes, WORD), (mix(before), CONTEXT), (both, BIGRAM))]))
+        parts.append(words.hashes)
+        pairs.append(mix(mix(before + U(1)) + words.hashes))
         n.append(np.diff(words.first))
-    return np.concatenate(parts, 1), np.concatenate(n) if n else np.empty(0, np.int64)
+    word, pair = np.concatenate([*parts, [_START]]), np.concatenate([np.empty(0, U), *pairs])
+    drop = U(64 - bits)
+    return word >> drop << U(1), pair >> drop << U(1) | U(BIGRAM), np.concatenate(n) if n else np.empty(0, np.int64)
 
 
-def block_edges(grams: np.ndarray, blocks: int) -> np.ndarray:
+def context_places(n: np.ndarray) -> np.ndarray:
+    """Of every word, the place of the word before it; of first ones that of the start, behind all words."""
+    total = int(n.sum())
+    out = np.arange(total) - 1
+    out[(np.cumsum(n) - n)[n > 0]] = total
+    return out
+
+
+def block_edges(grams: np.ndarray, blocks: int, bits: int) -> np.ndarray:
     """Where in sorted n-grams each block begins, and the end."""
-    block = ((grams >> np.uint64(24)) * np.uint64(blocks)) >> np.uint64(32)
+    block = ((grams >> U(bits + 1 - 32)) * U(blocks)) >> U(32)
     return np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
 
 
@@ -159,8 +83,11 @@ def unpack(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
 
 
+ROWS = "rows long, ids binary, known binary, words binary, ends binary, body binary, all_words long, size long"
+
+
 def row_blocks(texts: DataFrame) -> DataFrame:
-    """rows, ids, known, ends, body: the texts of a block of rows, compressed; texts: doc_id, text."""
+    """rows, ids, known, words, ends, body, all_words, size: the texts of a block of rows, compressed; texts: doc_id, text."""
     made = [0]  # in this task
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -171,24 +98,25 @@ def row_blocks(texts: DataFrame) -> DataFrame:
             body = b"".join(texts[lo:hi])
             packed = len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
             ends = np.cumsum([len(t) for t in texts[lo:hi]]).astype("<i8")
-            out.append((TaskContext.get().partitionId() << 32 | made[0], ids[lo:hi].tobytes(), known[lo:hi].tobytes(), ends.tobytes(), packed))
+            words = np.concatenate([np.diff(words_of(texts[lo + i : lo + j]).first) for i, j in groups_of(texts[lo:hi])]).astype("<i8")
+            out.append((TaskContext.get().partitionId() << 32 | made[0], ids[lo:hi].tobytes(), known[lo:hi].tobytes(), words.tobytes(), ends.tobytes(), packed, int(words.sum()), len(body)))
             made[0] += 1
         columns = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["rows", "ids", "known", "ends", "body"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:6]), *(pa.array(c, pa.int64()) for c in columns[6:])], names=[x.split(" ")[0] for x in ROWS.split(", ")])
 
-    return map_batches(texts, run, "rows long, ids binary, known binary, ends binary, body binary", ROW_BLOCK_BYTES)
+    return map_batches(texts, run, ROWS, ROW_BLOCK_BYTES)
 
 
 def places(packed: DataFrame) -> DataFrame:
-    """rows, at, doc_id of every row that has an id."""
+    """rows, at, doc_id, words of every row that has an id."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = [np.flatnonzero(np.frombuffer(x, bool)) for x in batch.column(2).to_pylist()]
-        ids = [np.frombuffer(x, "<i8")[k] for x, k in zip(batch.column(1).to_pylist(), known, strict=True)]
+        ids, words = ([np.frombuffer(x, "<i8")[k] for x, k in zip(batch.column(c).to_pylist(), known, strict=True)] for c in (1, 3))
         rows = np.repeat(batch.column(0).to_numpy(), [len(k) for k in known])
-        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(known).astype(np.int32)), pa.array(np.concatenate(ids))], names=["rows", "at", "doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(known).astype(np.int32)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(words))], names=["rows", "at", "doc_id", "words"])
 
-    return map_batches(packed.select("rows", "ids", "known"), run, "rows long, at int, doc_id long")
+    return map_batches(packed.select("rows", "ids", "known", "words"), run, "rows long, at int, doc_id long, words long")
 
 
 def texts_in(ends: bytes, body: bytes) -> list[bytes]:
@@ -196,25 +124,32 @@ def texts_in(ends: bytes, body: bytes) -> list[bytes]:
     return [data[a:b] for a, b in itertools.pairwise(at)]
 
 
-def totals(marked: DataFrame, blocks: int) -> DataFrame:
+def totals(marked: DataFrame, blocks: int, share: float) -> DataFrame:
     """block, rows, n, target, background: the totals of the n-grams of each row block, in their sorted order; and STATS.
 
-    STATS, to be added up: words and kinds of words of both models, in one row of each block.
+    STATS, to be added up, stand in one row of each block: the kinds of words of the
+    target, those expected in a ``share`` of all words, and those there are.
     """
+    bits = hash_bits(blocks)
 
     def cells(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in range(6)]
         for rows, targets, ends, body in zip(*(batch.column(c).to_pylist() for c in ("rows", "targets", "ends", "body")), strict=True):
-            grams, n = text_grams(texts_in(ends, body))
-            distinct, all_of = np.unique(grams.ravel(), return_counts=True)
-            target = np.zeros(len(distinct), np.int64)
+            word, pair, n = text_grams(texts_in(ends, body), bits)
+            if not len(pair):
+                continue
             chosen = np.zeros(len(n), bool)
             chosen[targets or []] = True
-            found, counts = np.unique(grams[:, np.repeat(chosen, n)].ravel(), return_counts=True)
+            inside = np.repeat(chosen, n)
+            # starts count once for each text with words
+            grams = np.concatenate([word[:-1], pair, np.repeat(word[-1], int((n > 0).sum()))])
+            distinct, all_of = np.unique(grams, return_counts=True)
+            target = np.zeros(len(distinct), np.int64)
+            found, counts = np.unique(np.concatenate([word[:-1][inside], pair[inside], np.repeat(word[-1], int((n[chosen] > 0).sum()))]), return_counts=True)
             target[np.searchsorted(distinct, found)] = counts
-            for b, (i, j) in enumerate(itertools.pairwise(block_edges(distinct, blocks).tolist())):
+            for b, (i, j) in enumerate(itertools.pairwise(block_edges(distinct, blocks, bits).tolist())):
                 if i < j:
-                    row = (b, rows, j - i, pack(np.diff(distinct[i:j], prepend=np.uint64(0))), pack(target[i:j]), pack(all_of[i:j]))
+                    row = (b, rows, j - i, pack(np.diff(distinct[i:j], prepend=U(0))), pack(target[i:j]), pack(all_of[i:j]))
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[3:])], names=["block", "rows", "n", "grams", "target", "background"])
@@ -228,16 +163,16 @@ def totals(marked: DataFrame, blocks: int) -> DataFrame:
         for c in ("target", "background"):
             each = np.concatenate([unpack(x, k) for x, k in zip(table.column(c).to_pylist(), sizes, strict=True)])
             sums.append(np.bincount(number, weights=each, minlength=len(distinct)).astype(np.int64))
-        edges = itertools.pairwise(np.cumsum([0, *sizes]).tolist())
-        back = [[pack(s[number[i:j]]) for s in sums] for i, j in edges]
-        word = (distinct & 3) == WORD
+        back = [[pack(s[number[i:j]]) for s in sums] for i, j in itertools.pairwise(np.cumsum([0, *sizes]).tolist())]
+        word = (distinct & 1 == WORD) & (distinct != int(_START >> U(64 - bits) << U(1)))
         n = len(grams)
-        stats = [int(sums[0][word].sum()), int(sums[1][word].sum()), int((sums[0][word] > 0).sum()), int((sums[1][word] > 0).sum())]
-        first = [pa.array([s] + [0] * (n - 1), pa.int64()) for s in stats]  # once for each block
+        expected = word.sum() if share >= 1 else -np.expm1(sums[1][word] * np.log1p(-share)).sum()
+        stats = [float((sums[0][word] > 0).sum()), float(expected), float(word.sum())]
+        first = [pa.array([s] + [0.0] * (n - 1), pa.float64()) for s in stats]  # once for each block
         return pa.table([table.column("block"), table.column("rows"), table.column("n"), *(pa.array([x[k] for x in back], pa.binary()) for k in (0, 1)), *first], names=["block", "rows", "n", "target", "background", *STATS])
 
     cut = map_batches(marked.select("rows", "targets", "ends", "body"), cells, "block int, rows long, n int, grams binary, target binary, background binary", ROW_BLOCK_BYTES)
-    return cut.groupBy("block").applyInArrow(add, "block int, rows long, n int, target binary, background binary, " + ", ".join(f"{s} long" for s in STATS))
+    return cut.groupBy("block").applyInArrow(add, "block int, rows long, n int, target binary, background binary, " + ", ".join(f"{s} double" for s in STATS))
 
 
 SCORES = "doc_id long, n_tokens long, target_bits double, background_bits double, difference double, prefers_target boolean"
@@ -246,28 +181,41 @@ SCORES = "doc_id long, n_tokens long, target_bits double, background_bits double
 def word_cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_bits, background_bits, difference, prefers_target.
 
-    As ``cross_entropy_difference``, with bigram models over words (white space
-    apart, A-Z lower-cased), whose shared vocabulary is the words of all rows.
-    p(word | before) = (pairs + PRIOR * p(word)) / (contexts + PRIOR), and p(word)
-    is Witten-Bell interpolation with uniform. A first word has a context too.
-    Words and pairs are told apart by 54-bit hashes.
+    The target is the rows whose id is in ``target_ids`` (one id column), the
+    background all rows, at the target's size: with f = target words / all words,
+    its counts are f times those of all rows, and its kinds of words those that a
+    share f of them is expected to have. Both are bigram models over words (white
+    space apart, A-Z lower-cased) with one smoothing, and share the words of all
+    rows as vocabulary:
+    p(word | before) = (pairs + PRIOR * p(word)) / (count of before + PRIOR), where
+    a start stands before each first word, and p(word) is Witten-Bell interpolation
+    with uniform. bits: mean loss of a token; difference: target less background,
+    lower is closer to the target.
+
+    Empty and null texts have 0 tokens and 0 bits, and do not prefer the target.
+    Without any target text both models are uniform. Null ids are no targets; of
+    equal ids all rows are; repeated rows count each; an empty table gives no rows.
+    Words and pairs are told apart by hashes of LOCAL_BITS within a block.
     """
     texts = texts_of(docs, id_col, text_col)
-    wanted = target_ids.select(target_ids.columns[0]).toDF("wanted").where("wanted IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
+    wanted = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("wanted")).where("wanted IS NOT NULL").distinct()
     packed = materialize(spark, row_blocks(texts), "lm-rows")
-    chosen = places(packed).join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted")).groupBy(F.col("rows").alias("of")).agg(F.collect_list("at").alias("targets"))
+    found = places(packed).join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"))
+    chosen = materialize(spark, found.groupBy(F.col("rows").alias("of")).agg(F.collect_list("at").alias("targets"), F.sum("words").alias("of_target")), "lm-targets")
+    target_words = chosen.agg(F.sum("of_target")).first()[0] or 0
+    all_words, size = (x or 0 for x in packed.agg(F.sum("all_words"), F.sum("size")).first())
+    share = target_words / all_words if all_words else 0.0
     marked = packed.join(chosen.hint("merge"), F.col("rows") == F.col("of"), "left")
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-size // GRAM_BLOCK_BYTES))
-    back = materialize(spark, totals(marked, blocks), "lm-totals")
-    words = [x or 0 for x in back.agg(*(F.sum(s) for s in STATS)).first()]
-    vocabulary = max(1, words[3])
+    bits = hash_bits(blocks)
+    back = materialize(spark, totals(marked, blocks, share), "lm-totals")
+    kinds = [x or 0.0 for x in back.agg(*(F.sum(s) for s in STATS)).first()]
+    vocabulary = max(1.0, kinds[2])
 
-    def bits(sums: np.ndarray, number: np.ndarray, all_words: int, kinds: int) -> np.ndarray:
-        """-log2 p of every word of a row block; number: the places of text_grams in the sums."""
-        word, context, pair = sums[number]
-        p = (word + kinds / vocabulary) / (all_words + kinds) if all_words else np.full(len(word), 1 / vocabulary)
-        return -np.log2((pair + PRIOR * p) / (context + PRIOR))
+    def loss(sums: np.ndarray, scale: float, kinds: float, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """-log2 p of every word; word, before, pair: the places of their n-grams in the sums."""
+        p = (scale * sums[word] + kinds / vocabulary) / (target_words + kinds) if target_words else np.full(len(word), 1 / vocabulary)
+        return -np.log2((scale * sums[pair] + PRIOR * p) / (scale * sums[before] + PRIOR))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         release()
@@ -277,10 +225,12 @@ def word_cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_i
         sizes = right.column("n").to_pylist()
         sums = [np.concatenate([np.empty(0, np.int64), *(unpack(x, k) for x, k in zip(right.column(c).to_pylist(), sizes, strict=True))]) for c in ("target", "background")]
         for ids, known, ends, body in zip(*(left.column(c).to_pylist() for c in ("ids", "known", "ends", "body")), strict=True):
-            grams, n = text_grams(texts_in(ends, body))
-            number = np.unique(grams.ravel(), return_inverse=True)[1].reshape(grams.shape)
+            word, pair, n = text_grams(texts_in(ends, body), bits)
+            total = len(pair)
+            number = np.unique(np.concatenate([word, pair]) if total else np.empty(0, U), return_inverse=True)[1]
+            at = number[:total], number[context_places(n)], number[total + 1 :]
             owner, least = np.repeat(np.arange(len(n)), n), np.maximum(n, 1)
-            t, b = (np.bincount(owner, weights=bits(s, number, words[k], words[k + 2]), minlength=len(n)) / least for k, s in enumerate(sums))
+            t, b = (np.bincount(owner, weights=loss(s, f, k, *at), minlength=len(n)) / least for s, f, k in zip(sums, (1.0, share), kinds[:2], strict=True))
             doc_id = pa.array(np.frombuffer(ids, "<i8"), mask=~np.frombuffer(known, bool))
             out.append(pa.table([doc_id, pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b), pa.array(t < b)], names=[x.split(" ")[0] for x in SCORES.split(", ")]))
         return pa.concat_tables(out)

@@ -79,7 +79,7 @@ class Grammar:
         source[new] = starts[rule]
         at = np.repeat(source - begins, lengths)
         at += np.arange(len(at))
-        return np.concatenate([opened, symbols])[at]
+        return np.concatenate([opened, symbols]).astype(np.uint32).take(at)
 
     def decode(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop, by the expansion lengths, without the rest."""
@@ -103,7 +103,11 @@ def compress(ids: np.ndarray, end_id: int) -> Grammar:
     base, at = first, np.flatnonzero(seq[:-1] != _U(end_id)).astype(np.uint64)
     while len(at) >= LEAST_COUNT:
         here = at.view(np.int64)
-        keys = ((seq[here] << half | seq[here + 1]) << place) | at
+        keys = seq.take(here)
+        keys <<= half
+        keys |= seq[1:].take(here)
+        keys <<= place
+        keys |= at
         keys.sort()
         pairs = keys >> place
         starts, counts = _runs(pairs)
@@ -111,13 +115,18 @@ def compress(ids: np.ndarray, end_id: int) -> Grammar:
         if not often.any() or base + int(often.sum()) >= 1 << int(half):
             break
         inside = np.repeat(often, counts)
-        found = (keys[inside] & ((_U(1) << place) - _U(1))) << _U(24) | np.repeat(np.arange(int(often.sum()), dtype=np.uint64), counts[often])
+        found = keys[inside]
+        found &= (_U(1) << place) - _U(1)
+        found <<= _U(24)
+        found |= np.repeat(np.arange(int(often.sum()), dtype=np.uint64), counts[often])
         found.sort()
         where = (found >> _U(24)).view(np.int64)
-        heads, run = _runs(where - np.arange(len(where)))
-        since = np.arange(len(where)) - np.repeat(heads, run)
-        alternate = since & 1 == 0
-        where, rule = where[alternate], found[alternate] & _U((1 << 24) - 1)
+        first_of_run = np.ones(len(where), bool)
+        np.not_equal(where[1:], where[:-1] + 1, out=first_of_run[1:])
+        heads = np.flatnonzero(first_of_run)
+        odd_head = np.repeat(heads & 1, np.diff(heads, append=len(where))).astype(bool)
+        alternate = np.flatnonzero(odd_head == (np.arange(len(where), dtype=np.int32) & 1).astype(bool))
+        where, rule = where.take(alternate), found.take(alternate) & _U((1 << 24) - 1)
         pair = pairs[starts[often]]
         new = np.stack([pair >> half, pair & ((_U(1) << half) - _U(1))], 1).astype("int64")
         rules.append(new)

@@ -14,7 +14,6 @@ from foliospark.llm import bpe, gif, media, token_shards
 from foliospark.llm.components import components
 from foliospark.llm.decontaminate import best_match, leaks
 from foliospark.llm.licenses import license_scan, winnow
-from foliospark.llm.lm_scores import cross_entropy_difference
 from foliospark.llm.ngram_join import jaccard_components
 from foliospark.llm.packing import cut_lengths, pack
 from foliospark.llm.quality_rules import fit, quality_scores, train, with_statistics
@@ -400,43 +399,6 @@ def test_license_scan(spark, docs, empty):
     assert winnow(np.array([5, 1, 7, 1, 9], np.uint64), 3) == [1, 3] and winnow(np.array([], np.uint64), 3) == []
 
 
-def test_lm_scores(spark, docs, empty):
-    target = spark.createDataFrame([(6,), (7,), (None,), (999,)], "doc_id long")
-    got = {r.doc_id: r for r in cross_entropy_difference(spark, docs, target).collect()}
-    assert len(got) == 23 and got[0].n_tokens == 0 and got[0].difference == 0 and not got[0].prefers_target
-    assert got[6].prefers_target and got[6].difference < got[13].difference
-    # the same by hand: interpolated Witten-Bell over byte trigrams
-    rows = texts_by_id(docs)
-
-    def model(texts):
-        n = [Counter(), Counter(), Counter()]
-        for t in texts:
-            b = b"\0\0" + t.encode()
-            for i in range(2, len(b)):
-                for k in range(3):
-                    n[k][b[i - k : i + 1]] += 1
-        total, kinds = Counter(), Counter()
-        for k in range(3):
-            for g, c in n[k].items():
-                total[k, g[:-1]] += c
-                kinds[k, g[:-1]] += 1
-
-        def p(g, k):
-            below = 1 / 256 if k == 0 else p(g[1:], k - 1)
-            t, d = total[k, g[:-1]], kinds[k, g[:-1]]
-            return (n[k][g] + d * below) / (t + d) if t else below
-
-        return p
-
-    for ids, column in (({6, 7}, "target_bits"), (set(range(99)), "background_bits")):
-        p = model([t for d, t in rows if d in ids])
-        for d in (8, 18):
-            b = b"\0\0" + dict(rows)[d].encode()
-            want = np.mean([-np.log2(p(b[i - 2 : i + 1], 2)) for i in range(2, len(b))])
-            assert abs(got[d][column] - want) < 1e-4
-    assert cross_entropy_difference(spark, empty, target).collect() == []
-
-
 def test_quality(spark, docs, empty):
     rng = random.Random(2)
     rows = [(i, prose(rng, 60) if i % 3 else " ".join(w.upper() + "!!" for w in prose(rng, 60).split(" "))) for i in range(600)]
