@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOC_COLUMNS = ("doc_id", "text")
@@ -49,7 +49,16 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(spark: SparkSession, *stored: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once nothing that is still to run reads it."""
+    for df in stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: What a worker process keeps from task to task, by owner; Spark gives a worker's next task to any operator.
@@ -79,3 +88,25 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+#: Bits of a filter of keys: 8 MB, however many the keys are.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be in ``keys`` (one long column): all that are, and few others while keys are fewer than FILTER_BITS.
+
+    Spares the shuffle of rows that a join with ``keys`` would drop. What is
+    broadcast is a bitmap of FILTER_BITS at most, in pieces of 4 KB.
+    """
+    name = keys.columns[0]
+
+    def place(c: str) -> Column:
+        return F.pmod(F.col(c), F.lit(FILTER_BITS)) + 1
+
+    pieces = keys.where(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(place(name)).alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(name))).alias("_bits"))
+    # the byte of the key's bit, shifted so that this bit is the last
+    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    found = rows.join(F.broadcast(pieces), F.bitmap_bucket_number(place(key)) == F.col("_piece")).withColumn("_bit", F.bitmap_bit_position(place(key)))
+    return found.where(f"shiftright({byte}, cast(_bit % 8 as int)) % 2 = 1").select(*rows.columns)

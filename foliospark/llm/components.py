@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import materialize
-
-
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first())
+from foliospark.llm.common import discard, materialize
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -19,16 +15,18 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     are never gathered: its least neighbour is an aggregate, joined back.
     """
     edges = materialize(spark, links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = _sum(edges)
-    while before[0]:
+    changed = not edges.isEmpty()
+    while changed:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = materialize(spark, small.distinct(), "links")
-        after = _sum(edges)
-        if after == before:
-            break
-        before = after
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
+        after = materialize(spark, small.distinct(), "links")
+        changed = not after.join(edges, ["a", "b"], "left_anti").isEmpty() or not edges.join(after, ["a", "b"], "left_anti").isEmpty()
+        discard(spark, edges)
+        edges = after
+    found = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
+    found = materialize(spark, found, "components")
+    discard(spark, edges)
+    return found

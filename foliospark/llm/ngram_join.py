@@ -6,26 +6,30 @@ any other document has; a document in which that sum stays under
 ceil(t * size) has no partner and leaves. What stays is few. By their sizes, a pair
 at t or more must share one of the rarest n-grams of each; documents connected
 by those are a family. A family's incidence rows are multiplied in tiles, column
-block by column block, and each pair of tiles gives the links that connect it.
+block by column block, and give the links that connect them.
 """
 
 from __future__ import annotations
 
+import itertools
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import map_batches, materialize, release, texts_of
+from foliospark.llm.common import discard, map_batches, materialize, maybe_in, release, texts_of
 from foliospark.llm.components import components
-from foliospark.llm.words import groups_of, mix, shingle_sets
+from foliospark.llm.words import groups_of, shingle_sets
 
 #: UTF-8 bytes of text whose n-grams make one column block, and of one row block.
 COLUMN_BLOCK_BYTES, ROW_BLOCK_BYTES = 12 << 20, 6 << 20
-#: Documents in a tile of a family, and n-gram columns multiplied at a time.
+#: Documents whose product is one dense matrix, and n-gram columns multiplied at a time.
 TILE, COLUMNS = 512, 4096
+#: Bytes of sets, and sets, in a part of a family.
+PART_BYTES, PART_ROWS = 16 << 20, 4096
 
 
 def set_key(s: np.ndarray) -> int:
@@ -59,13 +63,17 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
-    """key, shared: at least how many of a class's n-grams another class has too, never less than is so.
+    """key, shared: at least how many of a class's n-grams another row has too, never less than is so.
 
-    A row block sends each column block 32 further bits of its n-grams. What two
-    of its own classes share it counts itself and sends once, so an n-gram that
-    is everywhere costs a value for each row block, not for each document.
+    A row block sends each column block that it has n-grams of 32 further bits of
+    these and the numbers of their owners, and gets back for each owner how many
+    are shared. What two of its own classes share it counts itself and sends once,
+    so an n-gram that is everywhere costs a value for each row block, not for each
+    document. Equal sets in two row blocks share all, and drop out later.
     """
-    names = ["block", "keys", "single", "owner", "multi", "counted"]
+    made = [0]  # in this task
+    names = ["block", "rows", "keys", "single", "owner", "multi", "multi_owner", "multi_count"]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
 
     def cells(batch: pa.RecordBatch):
         texts = [t.encode() for t in batch.column(1).to_pylist()]
@@ -74,67 +82,67 @@ def shared_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
             distinct = {set_key(s): s for s in shingle_sets(texts[lo:hi], n) if len(s)}
             if not distinct:
                 continue
-            keys = np.fromiter(distinct.keys(), "int64")
+            keys = np.fromiter(distinct.keys(), "int64").tobytes()
             grams = np.concatenate(list(distinct.values()))
-            owners = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(s) for s in distinct.values()])
+            owners = np.repeat(np.arange(len(distinct), dtype=np.uint32), [len(s) for s in distinct.values()])
             order = np.argsort(grams, kind="stable")
             grams, owners = grams[order], owners[order]
             starts, lengths = _runs(grams)
             alone = np.repeat(lengths == 1, lengths)
-            block = ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-            edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
-            for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                if i == j:
-                    continue
-                one, g, o = alone[i:j], grams[i:j], owners[i:j]
-                several = g[~one]
-                counted = np.bincount(o[~one], minlength=len(keys)).astype("<u4") if len(several) else np.empty(0, "<u4")
-                several = several[np.r_[True, several[1:] != several[:-1]]] if len(several) else several
-                row = (b, keys.tobytes(), (g[one] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), o[one].tobytes(), (several & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), counted.tobytes())
+            block = (((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+            low = (grams & np.uint64(0xFFFFFFFF)).astype("<u4")
+            edges, sizes = _runs(block)
+            rows = TaskContext.get().partitionId() << 32 | made[0]
+            made[0] += 1
+            for i, j in zip(edges.tolist(), (edges + sizes).tolist(), strict=True):
+                one, o = alone[i:j], owners[i:j]
+                several = low[i:j][~one]
+                several = several[_runs(several)[0]]
+                who, count = np.unique(o[~one], return_counts=True)
+                row = (int(block[i]), rows, keys, low[i:j][one].tobytes(), _small(o[one]), several.tobytes(), _small(who), count.astype("<u4").tobytes())
+                keys = None  # once for each row block
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
-        if columns[0]:
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
-        return None
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names) if columns[0] else None
 
     def product(table: pa.Table) -> pa.Table:
         release()
-        all_keys, values, owners, counted = [], [], [], []
-        multi = [np.frombuffer(x, "<u4") for x in table.column("multi").to_pylist()]
-        base = 0
-        for keys, single, owner, own in zip(*(table.column(c).to_pylist() for c in ("keys", "single", "owner", "counted")), strict=True):
-            keys = np.frombuffer(keys, "<i8")
-            all_keys.append(keys)
-            values.append(np.frombuffer(single, "<u4"))
-            owners.append(np.frombuffer(owner, "<u2").astype("int64") + base)
-            counted.append(np.frombuffer(own, "<u4").astype("int64") if own else np.zeros(len(keys), "int64"))
-            base += len(keys)
-        keys, number = np.unique(np.concatenate(all_keys), return_inverse=True)
-        total = np.bincount(number, weights=np.concatenate(counted), minlength=len(keys))
-        pairs = np.unique((np.concatenate(values).astype(np.uint64) << np.uint64(32)) | number[np.concatenate(owners)].astype(np.uint64))
-        value = pairs >> np.uint64(32)
-        _, lengths = _runs(value)
-        shared = np.repeat(lengths > 1, lengths) | np.isin(value, np.unique(np.concatenate(multi)))
-        total += np.bincount((pairs & np.uint64(0xFFFFFFFF)).astype("int64")[shared], minlength=len(keys))
-        some = total > 0
-        keys, total = keys[some], total[some].astype("<u4")
-        bucket = (mix(keys.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        keys, total = keys[order], total[order]
-        number, cut = np.unique(bucket[order], return_index=True)
-        cut = [*cut.tolist(), len(keys)]
-        packed = [[a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for a in (keys, total)]
-        return pa.table({"bucket": pa.array(number, pa.int64()), "keys": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
+        single = [np.frombuffer(x, "<u4") for x in table.column("single").to_pylist()]
+        values = np.concatenate(single + [np.frombuffer(x, "<u4") for x in table.column("multi").to_pylist()])
+        several = np.sort(values)
+        several = np.unique(several[1:][several[1:] == several[:-1]])
+        # n-grams of one row block alone that two of its classes share are no row's besides
+        found: list[list] = [[], []]
+        for mine, owner, who, count in zip(single, *(table.column(c).to_pylist() for c in ("owner", "multi_owner", "multi_count")), strict=True):
+            hit = _wide(owner)[several[np.minimum(np.searchsorted(several, mine), len(several) - 1)] == mine] if len(several) else np.empty(0, np.int64)
+            number, where = np.unique(np.concatenate([hit, _wide(who)]), return_inverse=True)
+            each = np.concatenate([np.ones(len(hit), np.int64), np.frombuffer(count, "<u4").astype(np.int64)])
+            found[0].append(_small(number))
+            found[1].append(np.bincount(where, weights=each, minlength=len(number)).astype("<u4").tobytes())
+        return pa.table({"rows": table.column("rows"), "keys": table.column("keys"), "owner": pa.array(found[0], pa.binary()), "count": pa.array(found[1], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        keys, number = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), "<i8"), return_inverse=True)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
-        return pa.table({"key": pa.array(keys), "shared": pa.array(np.bincount(number, weights=counts, minlength=len(keys)).astype(np.int64))})
+        keys = np.frombuffer(next(k for k in table.column("keys").to_pylist() if k is not None), "<i8")
+        owners = np.concatenate([_wide(x) for x in table.column("owner").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("count").to_pylist()])
+        shared = np.bincount(owners, weights=counts, minlength=len(keys)).astype(np.int64)
+        some = shared > 0
+        return pa.table({"key": pa.array(keys[some]), "shared": pa.array(shared[some])})
 
-    cut = map_batches(docs, cells, "block int, keys binary, single binary, owner binary, multi binary, counted binary", ROW_BLOCK_BYTES)
-    # a block's counts travel packed, by hash of the class, to be added up
-    packed = cut.groupBy("block").applyInArrow(product, "bucket long, keys binary, counts binary")
-    return packed.groupBy("bucket").applyInArrow(add, "key long, shared long")
+    cut = map_batches(docs, cells, "block int, rows long, keys binary, single binary, owner binary, multi binary, multi_owner binary, multi_count binary", ROW_BLOCK_BYTES)
+    back = cut.groupBy("block").applyInArrow(product, "rows long, keys binary, owner binary, count binary")
+    # of a class in several row blocks, the most
+    return back.groupBy("rows").applyInArrow(add, "key long, shared long").groupBy("key").agg(F.max("shared").alias("shared"))
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Ascending or not, as 16-bit numbers where they fit, told by a first byte."""
+    kind = "<u2" if int(numbers.max(initial=0)) < 1 << 16 else "<u4"
+    return bytes([int(kind[2])]) + numbers.astype(kind).tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -147,17 +155,18 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.empty(0, "int64"), *(s.view("int64") for s in sets)])))
         return pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(right, pa.bool_())), pa.array([len(s) for s in sets], pa.int64()), grams], names=["cls", "n", "grams"])
 
-    found = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).join(wanted, F.col("row_key") == F.col("row")).select("doc_id", "text", "key")
+    maybe = maybe_in(docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))), "row_key", wanted.select("row"))
+    found = maybe.join(wanted, F.col("row_key") == F.col("row")).select("doc_id", "text", "key")
     return map_batches(found, run, "cls long, n long, grams array<long>").dropDuplicates(["cls"])
 
 
-def spanning_links(own: np.ndarray, other: np.ndarray | None, n: np.ndarray, grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links among the rows ``own``, or between ``own`` and ``other``, as a spanning forest of row numbers.
+def links_of(own: np.ndarray, other: np.ndarray, n: np.ndarray, grams: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the rows ``own`` and ``other`` are linked, as a matrix.
 
     The product of incidence rows is accumulated over blocks of columns; columns
     that one row alone has are left out.
     """
-    rows = own if other is None else np.concatenate([own, other])
+    rows = np.concatenate([own, other])
     flat = np.concatenate([grams[i] for i in rows])
     place = np.repeat(np.arange(len(rows)), [len(grams[i]) for i in rows])
     order = np.argsort(flat, kind="stable")
@@ -166,61 +175,100 @@ def spanning_links(own: np.ndarray, other: np.ndarray | None, n: np.ndarray, gra
     shared = np.repeat(lengths > 1, lengths)
     column, place = column[shared], place[order][shared]
     half = len(own)
-    left, right = (np.arange(half), np.arange(half)) if other is None else (np.arange(half), np.arange(half, len(rows)))
-    overlap = np.zeros((len(left), len(right)), np.float32)
+    overlap = np.zeros((half, len(other)), np.float32)
     edges = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 + COLUMNS, COLUMNS)) if len(column) else np.zeros(1, np.int64)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         block = np.zeros((len(rows), COLUMNS), np.float32)
         block[place[lo:hi], column[lo:hi] % COLUMNS] = 1
-        overlap += block[left] @ block[right].T
-    sizes = n[rows].astype(np.float64)
-    close = 100 * overlap >= percent * (sizes[left][:, None] + sizes[right][None, :] - overlap)
-    full = np.zeros((len(rows), len(rows)), bool)
-    full[np.ix_(left, right)] = close
-    full |= full.T
-    np.fill_diagonal(full, True)
-    label = np.arange(len(rows))
-    while ((least := np.where(full, label[None, :], len(rows)).min(1)) != label).any():
-        label = least
-    return [(int(rows[i]), int(rows[k])) for i, k in enumerate(label.tolist()) if i != k]
+        overlap += block[:half] @ block[half:].T
+    sizes = n.astype(np.float64)
+    return 100 * overlap >= percent * (sizes[own][:, None] + sizes[other][None, :] - overlap)
+
+
+def spanning_links(own: np.ndarray, other: np.ndarray | None, n: np.ndarray, grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among the rows ``own``, or between ``own`` and ``other``, as a spanning forest of row numbers.
+
+    Products are made for ``TILE`` rows at a time, and only of rows not yet connected.
+    """
+    label = {int(i): int(i) for i in (own if other is None else np.concatenate([own, other]))}
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = i = label[label[i]]
+        return i
+
+    found = []
+    for i in range(0, len(own), TILE):
+        left = own[i : i + TILE]
+        right_of = own[i:] if other is None else other
+        for j in range(0, len(right_of), TILE):
+            right = right_of[j : j + TILE]
+            if len({root(int(k)) for k in left} | {root(int(k)) for k in right}) == 1:
+                continue
+            for a, b in np.argwhere(links_of(left, right, n, grams, percent)):
+                a, b = root(int(left[a])), root(int(right[b]))
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+                    found.append((a, b))
+    return found
 
 
 def family_links(spark: SparkSession, sets: DataFrame, families: DataFrame, percent: int, buckets: int) -> DataFrame:
     """a, b: links that connect what is connected within each family (node, component) of candidates.
 
-    A family is cut into tiles of about ``TILE`` rows; each pair of tiles is a
-    task's group of its own. Families of one tile share groups, by hash.
+    A family is cut into parts of at most about ``PART_BYTES``. The first part is
+    compared with every part, so that each set is sent once, and those of the first
+    once for each part. What is still apart from the largest group then is compared
+    with all: two members of that group need no comparison. Families of one part
+    share groups, by hash.
     """
-    sized = families.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    member = sets.join(families, sets["cls"] == families["node"]).join(sized, "component").select("cls", "n", "grams", F.col("component").alias("family"), tiles.alias("tiles"))
-    tiled = member.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    paired = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    lo, hi = F.least("tile", "with"), F.greatest("tile", "with")
-    whole = F.col("tiles") == 1
-    group = F.when(whole, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(F.xxhash64("family", lo, hi))
-    ready = paired.select(group.alias("group"), "family", lo.alias("lo"), hi.alias("hi"), "tile", "cls", "n", "grams")
+    sized = families.join(sets, families["node"] == sets["cls"]).groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum(F.size("grams").cast("long") * 8).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("bytes") / PART_BYTES), F.ceil(F.col("members") / PART_ROWS)).cast("int")
+    of_family = sized.select(F.col("component").alias("family"), parts.alias("parts"))
+    member = sets.join(families, sets["cls"] == families["node"]).join(of_family, F.col("component") == F.col("family")).select("cls", "n", "grams", "family", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
 
     def product(table: pa.Table) -> pa.Table:
         release()
-        n, cls, tile = (table.column(c).to_numpy() for c in ("n", "cls", "tile"))
+        n, cls, second = (table.column(c).to_numpy() for c in ("n", "cls", "second"))
         column = table.column("grams").combine_chunks()
         ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-        grams = [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        grams = [values[i:j] for i, j in itertools.pairwise(ends)]
         keys = np.stack([table.column(c).to_numpy() for c in ("family", "lo", "hi")], 1)
         order = np.lexsort(keys.T[::-1])
         cut = np.flatnonzero(np.r_[True, (keys[order][1:] != keys[order][:-1]).any(1), True])
         found = []
-        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        for i, j in itertools.pairwise(cut.tolist()):
             rows = order[i:j]
-            low, high = keys[rows[0], 1], keys[rows[0], 2]
-            own, other = rows[tile[rows] == low], rows[tile[rows] == high] if low != high else None
-            if len(own) and (other is None or len(other)):
+            own, other = rows[~second[rows]], rows[second[rows]]
+            if keys[rows[0], 1] == keys[rows[0], 2]:
+                found += spanning_links(rows, None, n, grams, percent)
+            elif len(own) and len(other):
                 found += spanning_links(own, other, n, grams, percent)
         a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
         return pa.table({"a": pa.array(cls[a]), "b": pa.array(cls[b])})
 
-    return ready.groupBy("group").applyInArrow(product, "a long, b long")
+    def products(rows: DataFrame) -> DataFrame:
+        """rows: family, parts, lo, hi, second, cls, n, grams; own rows are compared with the second ones, those of lo = hi with each other."""
+        group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(F.xxhash64("family", "lo", "hi"))
+        return rows.select(group.alias("group"), "family", "lo", "hi", "second", "cls", "n", "grams").groupBy("group").applyInArrow(product, "a long, b long")
+
+    of_first = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    star = member.withColumn("lo", F.lit(0)).withColumn("hi", F.explode(of_first)).withColumn("second", F.col("part") > 0)
+    links = materialize(spark, products(star), "first-links")
+
+    # the groups so far of families of several parts, and of each family the largest
+    large = member.where("parts > 1").select("cls", "family", "part")
+    labels = components(spark, links)
+    grouped = large.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "family", "part", F.coalesce("component", "cls").alias("so_far"))
+    largest = grouped.groupBy("family", "so_far").agg(F.count(F.lit(1)).alias("size")).groupBy("family").agg(F.max_by("so_far", F.struct("size", "so_far")).alias("largest"))
+    apart = materialize(spark, grouped.join(largest, "family").where("so_far != largest AND part > 0").select(F.col("cls").alias("alone"), F.col("family").alias("of")), "apart")
+    left = apart.groupBy("of").agg(F.count(F.lit(1)).alias("left"))
+    own_parts = F.ceil(F.col("left") / PART_ROWS * F.col("parts")).cast("int")  # with sets as long as the family's, no larger than its parts
+    again = member.where("parts > 1").join(left, F.col("family") == F.col("of")).withColumn("own_parts", F.least(own_parts, F.col("parts")))
+    own = again.join(apart.select("alone"), F.col("cls") == F.col("alone"), "left_semi").withColumn("lo", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("own_parts")).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("second", F.lit(False))
+    other = again.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1))).withColumn("hi", F.col("part")).withColumn("second", F.lit(True))
+    columns = ["family", "parts", "lo", F.expr("hi + 1000000000").alias("hi"), "second", "cls", "n", "grams"]  # never the same as lo
+    return links.unionByName(products(own.select(*columns).unionByName(other.select(*columns))))
 
 
 def jaccard_rows(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,19 +281,25 @@ def jaccard_rows(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int
     wanted = materialize(spark, classes.join(counts, "key").where(F.col("shared") >= least_overlap(F.col("n"), percent)).select("key", "row"), "wanted")
     full = materialize(spark, candidate_sets(docs, wanted, n), "full-sets")
 
+    discard(spark, wanted)
     # n-grams that only one of them has cannot count; the others, rarest first
     flat = full.select("cls", "n", F.explode("grams").alias("gram"))
     often = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     kept = flat.join(often, "gram").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("by_df"))
     kept = kept.where(F.size("by_df") >= least_overlap(F.col("n"), percent))
     sets = materialize(spark, kept.select("cls", "n", F.col("by_df.gram").alias("grams")), "kept-sets")
+    discard(spark, full)
     # of the n - least + 1 rarest, those that are in one set alone come first and drop out
     prefix = F.slice("grams", 1, F.greatest(F.lit(0), F.size("grams") - least_overlap(F.col("n"), percent) + 1))
     postings = materialize(spark, sets.select("cls", F.explode(prefix).alias("gram")), "postings")
     first = postings.groupBy("gram").agg(F.min("cls").alias("first"))
-    families = materialize(spark, components(spark, postings.join(first, "gram").select(F.col("cls").alias("a"), F.col("first").alias("b"))), "families")
+    families = components(spark, postings.join(first, "gram").select(F.col("cls").alias("a"), F.col("first").alias("b")))
+    discard(spark, postings)
     buckets = max(1, -(-size // COLUMN_BLOCK_BYTES))
-    labels = components(spark, family_links(spark, sets, families, percent, buckets))
+    links = materialize(spark, family_links(spark, sets, families, percent, buckets), "family-links")
+    discard(spark, sets, families)
+    labels = components(spark, links)
+    discard(spark, links)
 
     least = classes.join(labels, classes["key"] == labels["node"]).groupBy("component").agg(F.min("least_id").alias("component_id"))
     linked = labels.join(least, "component")
@@ -263,8 +317,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     and are never paired. A null text is empty; of equal ids with different texts
     each row keeps its own set and component. An empty table gives no rows.
 
-    Every pair of different sets that could be linked is counted, in tiles; of the
-    links, those that connect are kept, at most one for each row of a tile.
+    Every pair of different sets that could be linked is counted, in tiles, unless
+    they are connected already; of the links, those that connect are kept.
     """
     found = jaccard_rows(spark, docs, n, percent, id_col, text_col)
     return found.select("doc_id", "n_shingles", "component_id")

@@ -210,6 +210,41 @@ def test_jaccard_chains_and_large_groups(spark):
     assert sorted(map(tuple, jaccard_components(spark, df).collect())) == brute_components(rows)
 
 
+@pytest.mark.parametrize("part_rows,tile,row_bytes", [(4096, 512, 6 << 20), (7, 3, 2000)])
+def test_jaccard_families_in_parts(spark, monkeypatch, part_rows, tile, row_bytes):
+    """One family whose clusters are apart from each other, with copies in several row blocks."""
+    from foliospark.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "PART_ROWS", part_rows)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "ROW_BLOCK_BYTES", row_bytes)
+    monkeypatch.setattr(ngram_join, "COLUMN_BLOCK_BYTES", 4000)
+    rng = random.Random(10)
+    common = prose(rng, 14)
+    rows = []
+    for _ in range(9):
+        own = prose(rng, 50).split(" ")
+        for _ in range(rng.choice([1, 2, 3, 14])):
+            w = list(own)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(90)}"
+            rows += [(len(rows), common + " " + " ".join(w))] * rng.choice([1, 1, 1, 3])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, jaccard_components(spark, df).collect())) == brute_components(rows)
+
+
+def test_maybe_in(spark, monkeypatch):
+    from foliospark.llm import common
+
+    rows = spark.range(-500, 500).selectExpr("id * 7919 AS key", "id AS x")
+    keys = spark.createDataFrame([(7919 * i,) for i in range(-90, 90, 3)] + [(None,)], "k long")
+    for bits in (1 << 26, 64):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        got = {r.x for r in common.maybe_in(rows, "key", keys).collect()}
+        assert got >= set(range(-90, 90, 3)) and (bits == 64 or len(got) == 60)
+    assert common.maybe_in(rows, "key", keys.where("false")).collect() == []
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 50), (60, 60)], "a long, b long")
     got = {r.node: r.component for r in components(spark, links).collect()}
