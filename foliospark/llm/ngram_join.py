@@ -222,10 +222,12 @@ def family_links(spark: SparkSession, sets: DataFrame, families: DataFrame, perc
     with all: two members of that group need no comparison. Families of one part
     share groups, by hash.
     """
-    sized = families.join(sets, families["node"] == sets["cls"]).groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum(F.size("grams").cast("long") * 8).alias("bytes"))
-    parts = F.greatest(F.ceil(F.col("bytes") / PART_BYTES), F.ceil(F.col("members") / PART_ROWS)).cast("int")
-    of_family = sized.select(F.col("component").alias("family"), parts.alias("parts"))
-    member = sets.join(families, sets["cls"] == families["node"]).join(of_family, F.col("component") == F.col("family")).select("cls", "n", "grams", "family", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
+    # narrow tables say where the sets go; each comparison joins the sets once
+    found = families.join(sets.select("cls", (F.size("grams").cast("long") * 8).alias("bytes")), F.col("node") == F.col("cls"))
+    parts = F.greatest(F.ceil(F.sum("bytes") / PART_BYTES), F.ceil(F.count(F.lit(1)) / PART_ROWS)).cast("int")
+    sized = found.groupBy(F.col("component").alias("family")).agg(parts.alias("parts"))
+    placed = found.join(sized, F.col("component") == F.col("family")).select("cls", "family", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
+    placed = materialize(spark, placed, "family-parts")
 
     def product(table: pa.Table) -> pa.Table:
         release()
@@ -248,27 +250,30 @@ def family_links(spark: SparkSession, sets: DataFrame, families: DataFrame, perc
         return pa.table({"a": pa.array(cls[a]), "b": pa.array(cls[b])})
 
     def products(rows: DataFrame) -> DataFrame:
-        """rows: family, parts, lo, hi, second, cls, n, grams; own rows are compared with the second ones, those of lo = hi with each other."""
+        """rows: cls, family, parts, lo, hi, second; own rows are compared with the second ones, those of lo = hi with each other."""
         group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(F.xxhash64("family", "lo", "hi"))
-        return rows.select(group.alias("group"), "family", "lo", "hi", "second", "cls", "n", "grams").groupBy("group").applyInArrow(product, "a long, b long")
+        return sets.join(rows, "cls").select(group.alias("group"), "family", "lo", "hi", "second", "cls", "n", "grams").groupBy("group").applyInArrow(product, "a long, b long")
 
     of_first = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    star = member.withColumn("lo", F.lit(0)).withColumn("hi", F.explode(of_first)).withColumn("second", F.col("part") > 0)
+    star = placed.withColumn("lo", F.lit(0)).withColumn("hi", F.explode(of_first)).withColumn("second", F.col("part") > 0)
     links = materialize(spark, products(star), "first-links")
 
     # the groups so far of families of several parts, and of each family the largest
-    large = member.where("parts > 1").select("cls", "family", "part")
-    labels = components(spark, links)
+    large = placed.where("parts > 1")
+    labels = components(spark, links.join(large.select("cls"), F.col("a") == F.col("cls"), "left_semi"))
     grouped = large.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "family", "part", F.coalesce("component", "cls").alias("so_far"))
     largest = grouped.groupBy("family", "so_far").agg(F.count(F.lit(1)).alias("size")).groupBy("family").agg(F.max_by("so_far", F.struct("size", "so_far")).alias("largest"))
-    apart = materialize(spark, grouped.join(largest, "family").where("so_far != largest AND part > 0").select(F.col("cls").alias("alone"), F.col("family").alias("of")), "apart")
-    left = apart.groupBy("of").agg(F.count(F.lit(1)).alias("left"))
-    own_parts = F.ceil(F.col("left") / PART_ROWS * F.col("parts")).cast("int")  # with sets as long as the family's, no larger than its parts
-    again = member.where("parts > 1").join(left, F.col("family") == F.col("of")).withColumn("own_parts", F.least(own_parts, F.col("parts")))
-    own = again.join(apart.select("alone"), F.col("cls") == F.col("alone"), "left_semi").withColumn("lo", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("own_parts")).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("second", F.lit(False))
-    other = again.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1))).withColumn("hi", F.col("part")).withColumn("second", F.lit(True))
-    columns = ["family", "parts", "lo", F.expr("hi + 1000000000").alias("hi"), "second", "cls", "n", "grams"]  # never the same as lo
-    return links.unionByName(products(own.select(*columns).unionByName(other.select(*columns))))
+    apart = materialize(spark, grouped.join(largest, "family").where("so_far != largest AND part > 0").select("cls", "family"), "apart")
+    left = apart.groupBy("family").agg(F.count(F.lit(1)).alias("left"))
+    own_parts = F.least("parts", F.ceil(F.col("left") / PART_ROWS * F.col("parts")).cast("int"))
+    again = large.join(left, "family").withColumn("own_parts", own_parts)
+    own = again.join(apart.select("cls"), "cls", "left_semi").withColumn("lo", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("own_parts")).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = again.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1))).withColumn("hi", F.col("part"))
+    columns = ["cls", "family", "parts", "lo", F.expr("hi + 1000000000").alias("hi")]  # never the same as lo
+    rest = own.select(*columns).withColumn("second", F.lit(False)).unionByName(other.select(*columns).withColumn("second", F.lit(True)))
+    if apart.isEmpty():
+        return links
+    return links.unionByName(products(rest))
 
 
 def jaccard_rows(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,10 +288,10 @@ def jaccard_rows(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int
 
     discard(spark, wanted)
     # n-grams that only one of them has cannot count; the others, rarest first
-    flat = full.select("cls", "n", F.explode("grams").alias("gram"))
+    flat = full.select("cls", F.explode("grams").alias("gram"))
     often = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    kept = flat.join(often, "gram").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("by_df"))
-    kept = kept.where(F.size("by_df") >= least_overlap(F.col("n"), percent))
+    kept = flat.join(often, "gram").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("by_df"))
+    kept = kept.join(full.select("cls", "n"), "cls").where(F.size("by_df") >= least_overlap(F.col("n"), percent))
     sets = materialize(spark, kept.select("cls", "n", F.col("by_df.gram").alias("grams")), "kept-sets")
     discard(spark, full)
     # of the n - least + 1 rarest, those that are in one set alone come first and drop out
@@ -296,10 +301,8 @@ def jaccard_rows(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int
     families = components(spark, postings.join(first, "gram").select(F.col("cls").alias("a"), F.col("first").alias("b")))
     discard(spark, postings)
     buckets = max(1, -(-size // COLUMN_BLOCK_BYTES))
-    links = materialize(spark, family_links(spark, sets, families, percent, buckets), "family-links")
-    discard(spark, sets, families)
-    labels = components(spark, links)
-    discard(spark, links)
+    labels = components(spark, family_links(spark, sets, families, percent, buckets))
+    discard(spark, sets)
 
     least = classes.join(labels, classes["key"] == labels["node"]).groupBy("component").agg(F.min("least_id").alias("component_id"))
     linked = labels.join(least, "component")

@@ -245,7 +245,12 @@ def test_maybe_in(spark, monkeypatch):
     assert common.maybe_in(rows, "key", keys.where("false")).collect() == []
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("part_links", [1 << 20, 4])
+def test_components_of_a_path(spark, monkeypatch, part_links):
+    from foliospark.llm import components as module
+
+    monkeypatch.setattr(module, "PART_LINKS", part_links)
+    assert components(spark, spark.createDataFrame([], "a long, b long")).collect() == []
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 50), (60, 60)], "a long, b long")
     got = {r.node: r.component for r in components(spark, links).collect()}
     assert got == {i: 0 for i in range(21)} | {40: 40, 50: 40}
