@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import blank_to, col, safe_colour, safe_image_url, text
-
-
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is referred to."""
-    return F.transform(F.array(value), use)[0]
+from foliospark.functions.text import blank_to, col, let, safe_colour, safe_image_url, text, trim
 
 
 def js_round(c: Column) -> Column:
@@ -19,8 +14,10 @@ def js_round(c: Column) -> Column:
 
 
 def number(c: Column | str, default: float | None = None) -> Column:
-    """A lenient number; with a default, null, text and 0 become it."""
-    n = col(c).try_cast("double")
+    """A lenient number, hexadecimal with 0x too; with a default, null, text and 0 become it."""
+    t = trim(c)
+    hexed = F.conv(F.substring(t, 3, 16), 16, 10).try_cast("double")
+    n = F.when(t.rlike("(?i)^0x[0-9a-f]+$"), hexed).otherwise(t.try_cast("double"))
     return n if default is None else F.coalesce(F.nullif(n, F.lit(0.0)), F.lit(float(default)))
 
 

@@ -25,6 +25,10 @@ def format_date(iso: Column | str, lang: str = "en") -> Column:
     return F.when(raw == "", "").when(d.isNull(), raw).otherwise(F.concat(F.dayofmonth(d).cast("string"), F.lit(" "), month, comma, F.year(d).cast("string")))
 
 
+def today(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd")
+
+
 def iso_now(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

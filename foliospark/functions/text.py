@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white space of browsers' trim() and \s, for Java patterns.
-WS = r"[\t\n\x0B\f\r    -     　﻿]"
+#: The white space of browsers' trim() and \\s, for Java patterns.
+WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 NOT_WS = WS.replace("[", "[^", 1)
 #: Pairs of noncharacters that stand for an opening and a closing marker, in the order in which markers are claimed.
 MARKERS = (("**", "﷐", "﷑", "b"), ("__", "﷒", "﷓", "u"), ("*", "﷔", "﷕", "i"))
@@ -16,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is referred to."""
+    return F.transform(F.array(value), use)[0]
+
+
 def text(c: Column | str) -> Column:
     """A null is an empty text."""
     return F.coalesce(col(c).cast("string"), F.lit(""))
@@ -56,9 +61,9 @@ def has_markup(c: Column | str) -> Column:
 def runs(c: Column | str) -> Column:
     """array<struct<t,b,i,u>>: stretches of one formatting; line breaks are runs of their own."""
     ends = "".join(o + x for _, o, x, _ in MARKERS)
-    tokens = F.regexp_extract_all(marked(c), F.lit(f"([{ends}]|\\n|[^{ends}\\n]+)"), F.lit(1))
     run = "struct<t:string,b:boolean,i:boolean,u:boolean>"
-    start = F.struct(F.lit(False).alias("b"), F.lit(False).alias("i"), F.lit(False).alias("u"), F.array().cast(f"array<{run}>").alias("out"))
+    off = {f: F.lit(False).alias(f) for f in "biu"}
+    start = F.struct(*off.values(), F.array().cast(f"array<{run}>").alias("out"))
 
     def step(state: Column, token: Column) -> Column:
         flag = {f: F.when(token.isin(o, x), ~state[f]).otherwise(state[f]) for _, o, x, f in MARKERS}
@@ -66,7 +71,12 @@ def runs(c: Column | str) -> Column:
         now = F.struct(token.alias("t"), state["b"].alias("b"), state["i"].alias("i"), state["u"].alias("u")).cast(run)
         return F.struct(flag["b"].alias("b"), flag["i"].alias("i"), flag["u"].alias("u"), F.when(is_marker, state["out"]).otherwise(F.array_append(state["out"], now)).alias("out"))
 
-    return F.aggregate(tokens, start, step, lambda s: s["out"])
+    def of_line(line: Column, at: Column) -> Column:  # pairs never cross a line, so each begins without formatting
+        tokens = F.regexp_extract_all(line, F.lit(f"([{ends}]|[^{ends}]+)"), F.lit(1))
+        broken = F.array(F.struct(F.lit("\n").alias("t"), *off.values()).cast(run))
+        return F.concat(F.when(at > 0, broken).otherwise(F.array().cast(f"array<{run}>")), F.aggregate(tokens, start, step, lambda s: s["out"]))
+
+    return F.flatten(F.transform(F.split(marked(c), "\n"), of_line))
 
 
 def escape_html(c: Column | str) -> Column:
@@ -174,8 +184,7 @@ def from_base64(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Words between white space, markers included."""
-    t = trim(c)
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{WS}+"))).cast("long")
+    return let(trim(c), lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{WS}+")))).cast("long")
 
 
 def minutes(words_: Column) -> Column:
@@ -190,18 +199,20 @@ def line_count(c: Column | str) -> Column:
 def preview(kind: Column | str, body: Column | str, excerpt: Column | str, lines: int = 6) -> Column:
     """The excerpt; 240 characters of prose; else the first lines."""
     n = lines or 6
-    trimmed = trim(body)
-    flat = fold_space(plain(trimmed))
-    prose = F.when(F.length(flat) > 240, F.concat(trim(F.substring(flat, 1, 240)), F.lit("…"))).otherwise(flat)
-    rows = F.split(trimmed, "\n")
-    verse = F.concat(F.array_join(F.slice(rows, 1, n), "\n"), F.when(F.size(rows) > n, "\n…").otherwise(""))
-    return blank_to(text(excerpt), F.when(col(kind) == "blog", prose).otherwise(verse))
+
+    def prose(flat: Column) -> Column:
+        return F.when(F.length(flat) > 240, F.concat(trim(F.substring(flat, 1, 240)), F.lit("…"))).otherwise(flat)
+
+    def verse(rows: Column) -> Column:
+        return F.concat(F.array_join(F.slice(rows, 1, n), "\n"), F.when(F.size(rows) > n, "\n…").otherwise(""))
+
+    short = F.when(col(kind) == "blog", let(fold_space(plain(trim(body))), prose)).otherwise(let(F.split(trim(body), "\n"), verse))
+    return blank_to(text(excerpt), short)
 
 
 def label(title: Column | str, kind: Column | str, body: Column | str, most: int = 60) -> Column:
     """The title, else the first line without markup, cut."""
-    first = F.substring(fold_space(plain(preview(kind, body, F.lit(""), 1))), 1, most)
-    return blank_to(text(title), first)
+    return let(text(title), lambda t: F.when(t != "", t).otherwise(F.substring(fold_space(plain(preview(kind, body, F.lit(""), 1))), 1, most)))
 
 
 def as_text(title: Column | str, body: Column | str, credit: Column | str, who: Column | str | None = None, url: Column | None = None) -> Column:
@@ -274,26 +285,37 @@ def route(path: Column | str) -> Column:
 
 
 def publish_target(url: Column | str) -> Column:
-    """struct<owner,repo,path> guessed from a page on a user's static host."""
-    host = F.coalesce(F.regexp_extract(text(url), r"^[a-z]+://([^/?#]*)", 1), F.lit(""))
-    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(text(url), r"^[a-z]+://[^/?#]*", ""), r"[?#].*$", ""), "/"), lambda x: x != "")
-    owner = F.regexp_extract(host, r"(?i)^([\w-]+)\.github\.io$", 1)
-    rest = F.filter(F.slice(parts, 2, 10_000), lambda x: ~x.rlike(r"(?i)\.html?$"))
-    below = F.concat(F.when(F.size(rest) > 0, F.concat(F.array_join(rest, "/"), F.lit("/"))).otherwise(""), F.lit("data/content.json"))
-    known = owner != ""
-    return F.struct(owner.alias("owner"), F.when(~known, "").when(F.size(parts) > 0, F.get(parts, F.lit(0))).otherwise(host).alias("repo"), F.when(~known, "").when(F.size(parts) > 0, below).otherwise("data/content.json").alias("path"))
-
-
-def error_text(status: Column | str, message: Column | str) -> Column:
-    """What to tell an author when a publishing request fails."""
-    s = col(status)
-    said = blank_to(text(message), F.concat(F.lit("HTTP "), s.cast("string")))
-    return (
-        F.when(s == 401, "The token was rejected; it may be wrong, expired or revoked.")
-        .when((s == 403) & said.rlike("(?i)rate limit"), "The rate limit is reached; try again in a few minutes.")
-        .when(s == 403, "The token may not write to this repository.")
-        .when(s == 404, "The repository or branch was not found.")
-        .when(s == 409, "The file changed while publishing.")
-        .when(s == 422, F.concat(F.lit("The commit was refused: "), said))
-        .otherwise(said)
-    )
+    """struct<owner,repo,path> that a page's address stands for: the host names the owner, the first folder the repository; all '' for other hosts."""
+
+    def target(u: Column) -> Column:
+        folders = F.filter(F.split(F.regexp_replace(u["path"], r"/[^/]*\.html?$", "/"), "/"), lambda x: x != "")
+        below = F.concat_ws("/", F.slice(folders, 2, F.greatest(F.size(folders) - 1, F.lit(0))), F.lit("data/content.json"))
+        made = F.struct(u["owner"].alias("owner"), F.coalesce(F.get(folders, F.lit(0)), u["host"]).alias("repo"), below.alias("path"))
+        return F.when(u["owner"] != "", made).otherwise(F.struct(*(F.lit("").alias(k) for k in ("owner", "repo", "path"))))
+
+    host = F.coalesce(F.try_parse_url(text(url), F.lit("HOST")), F.lit(""))
+    path = F.coalesce(F.try_parse_url(text(url), F.lit("PATH")), F.lit(""))
+    return let(F.struct(host.alias("host"), path.alias("path"), F.regexp_extract(host, r"(?i)^([\w-]+)\.github\.io$", 1).alias("owner")), target)
+
+
+def error_text(status: Column | str, message: Column | str, texts: dict[str, str]) -> Column:
+    """What to tell an author when a request fails, by the caller's texts.
+
+    texts: by status, '403 rate' for a rate limit; {said} stands for the message. Else the message, or the status.
+    """
+    s = col(status).cast("string")
+    said = blank_to(text(message), F.concat(F.lit("HTTP "), s))
+    key = F.when((s == "403") & said.rlike("(?i)rate limit"), "403 rate").otherwise(s)
+    known = F.create_map(*(F.lit(x) for pair in texts.items() for x in pair))
+    return F.coalesce(F.replace(F.try_element_at(known, key), F.lit("{said}"), said), said)
+
+
+def full_links(links: Column) -> Column:
+    """The links that have both an address and a label."""
+    return F.filter(links, lambda x: (text(x["url"]) != "") & (text(x["label"]) != ""))
+
+
+def every_wrapped(c: Column | str, token: str) -> Column:
+    """Whether every line stands between two of the markers."""
+    least = 2 * len(token) + 1
+    return F.forall(F.split(text(c), "\n"), lambda x: (F.length(x) >= least) & x.startswith(token) & x.endswith(token))

@@ -41,6 +41,17 @@ def page_variables(theme: Column, palette: Column, mode: Column) -> Column:
     ])
 
 
+def font_stack(font: Column | str, stack: Column | str, script: Column | str, system: dict[str, str]) -> Column:
+    """A font-family value: the face and its fallbacks; of no known face (stack null) the script's system fonts; system has '' for other scripts."""
+    other = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in system.items() for x in pair)), col(script)), F.lit(system[""]))
+    return F.coalesce(F.concat(F.lit('"'), col(font), F.lit('", '), col(stack)), other)
+
+
+def page_attributes(theme: Column, preset: Column | str, mode: Column | str) -> Column:
+    """map of the attributes by which a page's style rules tell themes apart."""
+    return _css([("data-mode", col(mode)), ("data-preset", col(preset)), ("data-card", blank_to(text(theme["cardStyle"]), F.lit("paper"))), ("data-density", blank_to(text(theme["density"]), F.lit("comfortable")))])
+
+
 def fonts_for(fonts: DataFrame, script: str) -> DataFrame:
     return fonts.where(F.col("script") == script)
 

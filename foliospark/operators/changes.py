@@ -66,3 +66,16 @@ def apply_look(style: Column, look: dict[str, Column]) -> Column:
 def draft_state(has_draft: Column, has_base: Column, has_published: Column) -> Column:
     """struct of what may be done: edit with a published copy or a draft, discard only with a published copy."""
     return F.struct((has_published | has_draft).alias("can_edit"), (has_draft & has_published).alias("can_discard"), (has_draft & ~has_base).alias("needs_base"))
+
+
+def after_event(state: Column, event: Column | str) -> Column:
+    """struct<has_draft,has_base,has_published> after 'edit', 'publish' or 'discard'.
+
+    The first edit takes a base; publishing ends the draft and makes what it wrote
+    the base; a draft can be discarded only for a published copy.
+    """
+    e = event if isinstance(event, Column) else F.col(event)
+    discards = (e == "discard") & state["has_published"]
+    draft = F.when(e == "edit", True).when((e == "publish") | discards, False).otherwise(state["has_draft"])
+    base = F.when((e == "edit") | (e == "publish"), True).when(discards, False).otherwise(state["has_base"])
+    return F.struct(draft.alias("has_draft"), base.alias("has_base"), (state["has_published"] | (e == "publish")).alias("has_published"))

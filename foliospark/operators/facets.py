@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators.select import visible
+from foliospark.functions.text import label
+from foliospark.operators.select import order_keys, visible
 
 TYPES = (("poems", "poem"), ("blogs", "blog"), ("quotes", "quote"))
 
@@ -60,3 +61,18 @@ def cards(entries: DataFrame, collections: DataFrame) -> DataFrame:
     """What a list row shows: upper-case language, the first three tags, collection names."""
     names = entry_collection_names(entries, collections)
     return entries.select(F.col("id").alias("entry_id"), "title", F.upper("lang").alias("lang"), F.slice("tags", 1, 3).alias("tags")).join(names, "entry_id")
+
+
+def collection_pieces(entries: DataFrame, collections: DataFrame, most: int = 12) -> DataFrame:
+    """id, pieces, more: the labels of each collection's first pieces, drafts too, and '+ N more' where there are others."""
+    members = entries.select("pos", F.col("title"), "type", "body", F.explode(F.array_distinct("collections")).alias("id"))
+    sizes = members.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = members.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where(F.col("_r") <= most)
+    first = ranked.select("id", "_r", label("title", "type", "body").alias("label")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_r", "label"))).alias("x"))
+    more = F.when(F.col("n") > most, F.concat(F.lit("+ "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return collections.select("id").join(first.join(sizes, "id"), "id", "left").select("id", F.coalesce(F.col("x.label"), F.array().cast("array<string>")).alias("pieces"), F.coalesce(more, F.lit("")).alias("more"))
+
+
+def feedback_options(entries: DataFrame, most: int = 200) -> DataFrame:
+    """pos, label: what a reader may write about, the first visible entries in the default order."""
+    return visible(entries).orderBy(*order_keys()).limit(most).select("pos", label("title", "type", "body").alias("label"))

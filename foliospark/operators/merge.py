@@ -96,6 +96,13 @@ def fold_block(local: Column, remote: Column, base: Column, defaults: Column) ->
     return F.when((local == F.coalesce(base, defaults)) & remote.isNotNull() & (remote != local), remote).otherwise(local)
 
 
+def fold_settings(rows: DataFrame, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
+    """rows with, for each block, JSON texts l_<block>, r_<block>, b_<block> (null without a base) and d_<block> of the defaults: each block as folded, and ``settings``, the names of those taken from the remote."""
+    folded = {x: fold_block(*(F.col(f"{side}_{x}") for side in "lrbd")) for x in blocks}
+    taken = F.array_compact(F.array(*(F.when(~folded[x].eqNullSafe(F.col(f"l_{x}")), F.lit(x)) for x in blocks)))
+    return rows.withColumns(folded | {"settings": taken}).drop(*(f"{side}_{x}" for side in "lrbd" for x in blocks))
+
+
 def fold_admin(local: Column, remote: Column) -> Column:
     """The local passphrase settings, unless they hold none."""
     return F.when(text(local["passHash"]) == "", remote).otherwise(local)

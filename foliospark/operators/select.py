@@ -92,6 +92,11 @@ def toggled_tag(current: str | None, clicked: str) -> str | None:
     return None if current == clicked else clicked
 
 
+def toggled(current: Column, clicked: Column) -> Column:
+    """As ``toggled_tag``, of columns."""
+    return F.when(~current.eqNullSafe(clicked), clicked)
+
+
 def tag_suggestions(histogram: DataFrame, entry_tags: DataFrame, typed: str, most: int = 10) -> DataFrame:
     """The most popular tags that start with what is typed and that the entry lacks; entry_tags: tag."""
     starts = F.startswith(F.lower("tag"), F.lower(trim(F.lit(typed))))

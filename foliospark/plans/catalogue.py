@@ -24,26 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of an entry that documents alone tell; texts are not shuffled to join labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    labels = table(spark, sf_dir, "labels")
     lines = F.size(F.split("text", "\n"))
     i = F.col("doc_id")
     kinds = F.when(lines == 1, "quote").when(lines > 14, "blog").otherwise("poem")
-    tags = F.array_compact(F.array("source", F.concat(F.lit("q"), F.col("quality").cast("string")), F.when(F.col("toxic") == 1, "toxic")))
     ids = F.array(F.concat(F.lit("c_"), (i % 7).cast("string")))
     ids = F.when(i % 3 == 0, F.array_append(ids, F.concat(F.lit("c_"), ((i + 1) % 7).cast("string")))).otherwise(ids)
-    return docs.join(labels, "doc_id", "left").select(
+    return docs.select(
         i.alias("pos"), F.concat(F.lit("e_"), i.cast("string")).alias("id"), kinds.alias("type"), "lang", F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 60).alias("title"),
-        F.col("text").alias("body"), tags.alias("tags"), ids.alias("collections"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int")), "yyyy-MM-dd").alias("date"),
-        (i % 50 == 0).alias("pinned"), (F.coalesce("toxic", F.lit(0)) == 1).alias("draft"),
+        F.col("text").alias("body"), ids.alias("collections"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int")), "yyyy-MM-dd").alias("date"),
+        (i % 50 == 0).alias("pinned"), "source",
     )
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    tags = F.array_compact(F.array("source", F.concat(F.lit("q"), F.col("quality").cast("string")), F.when(F.col("toxic") == 1, "toxic")))
+    rows = written(spark, sf_dir).join(labels, F.col("pos") == F.col("doc_id"), "left")
+    return rows.select("pos", "id", "type", "lang", "title", "body", tags.alias("tags"), "collections", "date", "pinned", (F.coalesce("toxic", F.lit(0)) == 1).alias("draft"))
+
+
 #: The same view in SQL; every query's SQL begins with it.
 ENTRIES_SQL = """
 WITH entries AS (
-  SELECT d.doc_id AS pos, 'e_' || d.doc_id AS id,
+  SELECT source, d.doc_id AS pos, 'e_' || d.doc_id AS id,
     CASE WHEN len(string_split(text, chr(10))) = 1 THEN 'quote' WHEN len(string_split(text, chr(10))) > 14 THEN 'blog' ELSE 'poem' END AS type,
     lang, substr(string_split(text, chr(10))[1], 1, 60) AS title, text AS body,
     list_filter([source, 'q' || quality, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS tags,
@@ -214,7 +220,7 @@ def collection_members(spark, d):
 
 @query("SELECT e.id AS entry_id, string_agg(c.name, ', ' ORDER BY e.i) AS names FROM (SELECT id, unnest(collections) AS c, generate_subscripts(collections, 1) AS i FROM entries) e JOIN collections c ON c.id = e.c GROUP BY e.id")
 def entry_collection_names(spark, d):
-    return facets.entry_collection_names(entries(spark, d), collections(spark)).select("entry_id", F.array_join("names", ", ").alias("names"))
+    return facets.entry_collection_names(written(spark, d), collections(spark)).select("entry_id", F.array_join("names", ", ").alias("names"))
 
 
 @query("""SELECT count(*) AS pieces, count(*) FILTER (type = 'poem') AS poems, count(*) FILTER (type = 'blog') AS blogs, count(*) FILTER (type = 'quote') AS quotes,
@@ -223,9 +229,11 @@ def publish_summary(spark, d):
     return facets.publish_summary(entries(spark, d))
 
 
-@query("SELECT id AS entry_id, title, upper(lang) AS lang, array_to_string(tags[1:3], ', ') AS tags FROM entries")
+@query("""SELECT e.id AS entry_id, title, upper(lang) AS lang, array_to_string(tags[1:3], ', ') AS tags, n.names FROM entries e
+  LEFT JOIN (SELECT x.id, string_agg(c.name, ', ' ORDER BY x.i) AS names FROM (SELECT id, unnest(collections) AS c, generate_subscripts(collections, 1) AS i FROM entries) x JOIN collections c ON c.id = x.c GROUP BY x.id) n ON n.id = e.id""")
 def cards(spark, d):
-    return facets.cards(entries(spark, d), collections(spark)).select("entry_id", "title", "lang", F.array_join("tags", ", ").alias("tags"))
+    found = facets.cards(entries(spark, d), collections(spark))
+    return found.select("entry_id", "title", "lang", F.array_join("tags", ", ").alias("tags"), F.array_join("names", ", ").alias("names"))
 
 
 # -------------------------------------------------------------------- texts
@@ -233,66 +241,114 @@ def cards(spark, d):
   ELSE array_to_string(string_split(t, chr(10))[1:6], chr(10)) || CASE WHEN len(string_split(t, chr(10))) > 6 THEN chr(10) || '…' ELSE '' END END AS preview
   FROM (SELECT pos, type, t, regexp_replace({plain_of('t')}, '{WS_SQL}+', ' ', 'g') AS flat FROM (SELECT pos, type, {trimmed('body')} AS t FROM entries))""")
 def preview(spark, d):
-    return entries(spark, d).select("pos", X.preview("type", "body", F.lit("")).alias("preview"))
+    return written(spark, d).select("pos", X.preview("type", "body", F.lit("")).alias("preview"))
 
 
 @query(f"""SELECT pos, words, greatest(1, CAST(floor(words / 180.0 + 0.5) AS BIGINT)) AS minutes FROM (SELECT pos, CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, '{WS_SQL}+')) END AS words FROM (SELECT pos, {trimmed('body')} AS t FROM entries))""")
 def reading_stats(spark, d):
-    return entries(spark, d).select("pos", X.words("body").alias("words")).withColumn("minutes", X.minutes(F.col("words")))
+    return written(spark, d).select("pos", X.words("body").alias("words")).withColumn("minutes", X.minutes(F.col("words")))
 
 
 @query(f"SELECT pos, CAST(len(list_filter(string_split(body, chr(10)), lambda x: {trimmed('x')} <> '')) AS BIGINT) AS lines FROM entries")
 def line_count(spark, d):
-    return entries(spark, d).select("pos", X.line_count("body").alias("lines"))
+    return written(spark, d).select("pos", X.line_count("body").alias("lines"))
 
 
 @query(f"SELECT pos, {plain_of('body')} AS plain FROM entries")
 def plain_text(spark, d):
-    return entries(spark, d).select("pos", X.plain("body").alias("plain"))
+    return written(spark, d).select("pos", X.plain("body").alias("plain"))
 
 
 @query(f"SELECT pos, {plain_of('body')} <> body AS has_markup FROM entries")
 def has_markup(spark, d):
-    return entries(spark, d).select("pos", X.has_markup("body").alias("has_markup"))
+    return written(spark, d).select("pos", X.has_markup("body").alias("has_markup"))
+
+
+def marked_up(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with markers around words, in one of three ways by pos, beside those that they have."""
+    pairs = F.element_at(F.array(F.lit("**$1** __$2__"), F.lit("*$1 $2* **"), F.lit("__$1 **$2**__ *")), (F.col("pos") % 3 + 1).cast("int"))
+    return written(spark, d).select("pos", F.regexp_replace("body", F.lit("([a-z]+) ([a-z]+)"), pairs).alias("body"))
 
 
-@query(f"SELECT pos, {plain_of('body')} AS joined FROM entries")
+def sentinels_of(c: str) -> str:
+    """SQL of ``functions.text.marked``."""
+    return plain_of(c).removeprefix("regexp_replace(").rsplit(", '[", 1)[0]
+
+
+_ENDS = "".join(o + x for _, o, x, _ in X.MARKERS)
+_FLAGS = ", ".join(f"sum(CASE WHEN t IN ('{o}', '{x}') THEN 1 ELSE 0 END) OVER (PARTITION BY pos ORDER BY i) % 2 = 1 AS {f}_" for _, o, x, f in X.MARKERS)
+MARKED_SQL = f""",
+marked AS (SELECT pos, regexp_replace(body, '([a-z]+) ([a-z]+)', ['**\\1** __\\2__', '*\\1 \\2* **', '__\\1 **\\2**__ *'][pos % 3 + 1], 'g') AS body FROM entries),
+parts AS (SELECT pos, regexp_extract_all({sentinels_of('body')}, '[{_ENDS}]|\n|[^{_ENDS}\n]+') AS p FROM marked),
+runs AS (SELECT * FROM (SELECT pos, i, t, {_FLAGS} FROM (SELECT pos, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM parts)) WHERE NOT regexp_matches(t, '[{_ENDS}]'))
+"""
+FLAGS_SQL = "CASE WHEN b_ THEN 'b' ELSE '-' END || CASE WHEN i_ THEN 'i' ELSE '-' END || CASE WHEN u_ THEN 'u' ELSE '-' END"
+
+
+def flagged(r: Column) -> Column:
+    """A run's formatting and text as one text."""
+    return F.concat(*(F.when(r[f], f).otherwise("-") for f in "biu"), r["t"])
+
+
+@query(MARKED_SQL + f"SELECT m.pos, coalesce(string_agg({FLAGS_SQL} || t, chr(31) ORDER BY r.i), '') AS runs FROM marked m LEFT JOIN runs r ON m.pos = r.pos GROUP BY m.pos")
 def markup_runs(spark, d):
-    """What the runs say, put together, is the plain text."""
-    return entries(spark, d).select("pos", F.array_join(F.transform(X.runs("body"), lambda r: r["t"]), "").alias("joined"))
+    return marked_up(spark, d).select("pos", F.array_join(F.transform(X.runs("body"), flagged), "\x1f").alias("runs"))
 
 
-@query(f"SELECT pos, {plain_of('body')} AS joined FROM entries")
+@query(MARKED_SQL + f"SELECT m.pos, coalesce(string_agg({FLAGS_SQL} || w, chr(31) ORDER BY r.i, r.k), '') AS tokens FROM marked m LEFT JOIN (SELECT *, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT *, regexp_extract_all(t, '{WS_SQL}+|{WS_SQL.replace('[', '[^', 1)}+') AS ws FROM runs)) r ON m.pos = r.pos GROUP BY m.pos")
 def markup_tokens(spark, d):
-    return entries(spark, d).select("pos", F.array_join(F.transform(X.tokens("body"), lambda r: r["t"]), "").alias("joined"))
+    return marked_up(spark, d).select("pos", F.array_join(F.transform(X.tokens("body"), flagged), "\x1f").alias("tokens"))
 
 
 HTML_SQL = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 
 
-@query("SELECT pos, " + HTML_SQL.format(plain_of("body")) + " AS stripped FROM entries")
+@query(MARKED_SQL + "SELECT m.pos, coalesce(string_agg(CASE WHEN b_ THEN '<strong>' ELSE '' END || CASE WHEN i_ THEN '<em>' ELSE '' END || CASE WHEN u_ THEN '<u>' ELSE '' END || " + HTML_SQL.format("t") + " || CASE WHEN u_ THEN '</u>' ELSE '' END || CASE WHEN i_ THEN '</em>' ELSE '' END || CASE WHEN b_ THEN '</strong>' ELSE '' END, '' ORDER BY r.i), '') AS html FROM marked m LEFT JOIN runs r ON m.pos = r.pos GROUP BY m.pos")
 def markup_html(spark, d):
-    """The HTML without the three tags it may hold is the escaped plain text."""
-    return entries(spark, d).select("pos", F.regexp_replace(X.html("body"), "</?(u|em|strong)>", "").alias("stripped"))
+    return marked_up(spark, d).select("pos", X.html("body").alias("html"))
+
+
+@query(f"SELECT pos, len(list_filter(string_split(body, chr(10)), lambda x: NOT (length(x) >= 5 AND starts_with(x, '**') AND ends_with(x, '**')))) = 0 AS wrapped, {plain_of('body')} <> body AS any_markup FROM (SELECT pos, CASE WHEN pos % 2 = 0 THEN regexp_replace(body, '([^\n]+)', '**\\1**', 'g') ELSE body END AS body FROM entries)")
+def wrapped_lines(spark, d):
+    """Every line of half the texts is put between markers."""
+    rows = written(spark, d).select("pos", F.when(F.col("pos") % 2 == 0, F.regexp_replace("body", "([^\\n]+)", "**$1**")).otherwise(F.col("body")).alias("body"))
+    return rows.select("pos", X.every_wrapped("body", "**").alias("wrapped"), X.has_markup("body").alias("any_markup"))
+
 
+#: Letters that stand for a to j in other scripts.
+GU, HI = "\u0a95\u0a96\u0a97\u0a98\u0a9a\u0a9b\u0a9c\u0a9d\u0a9f\u0aa0", "\u0915\u0916\u0917\u0918\u091a\u091b\u091c\u091d\u091f\u0920"
+SCRIPTED_SQL = f"CASE {{0}} % 5 WHEN 1 THEN translate({{1}}, 'abcdefghij', '{GU}') WHEN 2 THEN translate({{1}}, 'abcdefghij', '{HI}') WHEN 3 THEN translate({{1}}, 'zxj', '{GU[:3]}') || '{HI[:4]}' WHEN 4 THEN regexp_replace({{1}}, '[b-zB-Z]', '', 'g') ELSE {{1}} END"
+COUNTS_SQL = "len(regexp_extract_all(body, '[\\x{0A80}-\\x{0AFF}]')) AS gu, len(regexp_extract_all(body, '[\\x{0900}-\\x{097F}]')) AS hi, len(regexp_extract_all(body, '[A-Za-z]')) AS latin"
+FOUND_SQL = "CASE WHEN gu > hi AND gu > 3 THEN 'gu' WHEN hi > gu AND hi > 3 THEN 'hi' ELSE 'en' END"
 
-@query("""SELECT pos, CASE WHEN gu > hi AND gu > 3 THEN 'gu' WHEN hi > gu AND hi > 3 THEN 'hi' ELSE 'en' END AS found, latin FROM (
-  SELECT pos, len(regexp_extract_all(body, '[\\x{0A80}-\\x{0AFF}]')) AS gu, len(regexp_extract_all(body, '[\\x{0900}-\\x{097F}]')) AS hi, len(regexp_extract_all(body, '[A-Za-z]')) AS latin FROM entries)""")
+
+def scripted(by: Column, c: Column) -> Column:
+    """A text in one of five mixtures of scripts."""
+    k = by % 5
+    return (
+        F.when(k == 1, F.translate(c, "abcdefghij", GU)).when(k == 2, F.translate(c, "abcdefghij", HI))
+        .when(k == 3, F.concat(F.translate(c, "zxj", GU[:3]), F.lit(HI[:4]))).when(k == 4, F.regexp_replace(c, "[b-zB-Z]", "")).otherwise(c)
+    )
+
+
+@query(f"SELECT pos, {FOUND_SQL} AS found, gu, hi, latin FROM (SELECT pos, {COUNTS_SQL} FROM (SELECT pos, {SCRIPTED_SQL.format('pos', 'body')} AS body FROM entries))")
 def detect_lang(spark, d):
-    return entries(spark, d).select("pos", X.detect_lang("body").alias("found"), X.script_counts("body")["latin"].alias("latin"))
+    rows = written(spark, d).select("pos", scripted(F.col("pos"), F.col("body")).alias("body"))
+    return rows.select("pos", X.detect_lang("body").alias("found"), X.script_counts("body").alias("n")).select("pos", "found", "n.*")
 
 
-@query("SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '[A-Za-z]')) < 12 THEN 'hi' ELSE 'en' END AS lang FROM conversations", plain_sql=True)
+@query(f"SELECT conv_id, turn, CASE WHEN {FOUND_SQL} = 'en' AND latin < 12 THEN 'hi' ELSE {FOUND_SQL} END AS lang FROM (SELECT conv_id, turn, {COUNTS_SQL} FROM (SELECT conv_id, turn, {SCRIPTED_SQL.format('(conv_id + turn)', 'text')} AS body FROM conversations))", plain_sql=True)
 def auto_lang(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", X.auto_lang("text", F.lit("hi")).alias("lang"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", scripted(F.col("conv_id") + F.col("turn"), F.col("text")).alias("text"))
+    return rows.select("conv_id", "turn", X.auto_lang("text", F.lit("hi")).alias("lang"))
 
 
-@query(f"""SELECT pos, title, body, CASE WHEN len(string_split(body, chr(10))) > 14 THEN 'blog' ELSE 'poem' END AS type, TRUE AS draft
-  FROM (SELECT doc_id AS pos, 'file ' || doc_id AS title, {trimmed('text')} AS body FROM documents) WHERE body <> ''""", plain_sql=True)
+@query(f"""SELECT pos, title, body, {FOUND_SQL} AS lang, CASE WHEN len(string_split(body, chr(10))) > 14 THEN 'blog' ELSE 'poem' END AS type, TRUE AS draft, '2025-06-01' AS date
+  FROM (SELECT *, {COUNTS_SQL} FROM (SELECT doc_id AS pos, 'file ' || doc_id AS title, {trimmed(SCRIPTED_SQL.format('doc_id', 'text'))} AS body FROM documents)) WHERE body <> ''""", plain_sql=True)
 def import_classify(spark, d):
-    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("file_-"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("name"), F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("raw"))
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("file_-"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("name"), F.replace(scripted(F.col("doc_id"), F.col("text")), F.lit("\n"), F.lit("\r\n")).alias("raw"))
     rows = site.import_drafts(files, "2025-06-01")
-    return rows.select(F.regexp_extract("title", "([0-9]+)$", 1).cast("long").alias("pos"), "title", "body", "type", "draft")
+    return rows.select(F.regexp_extract("title", "([0-9]+)$", 1).cast("long").alias("pos"), "title", "body", "lang", "type", "draft", "date")
 
 
 @query("SELECT count(*) AS added FROM documents WHERE text <> ''", plain_sql=True)
@@ -303,7 +359,7 @@ def import_count(spark, d):
 @query(f"""SELECT pos, CASE WHEN n = '' THEN 'writing' ELSE n END || '-' || date AS filename FROM (SELECT pos, date,
   substr(regexp_replace(regexp_replace(CASE WHEN title = '' THEN upper(type[1]) || type[2:] ELSE title END, '[\\\\/:*?"<>|]+', '', 'g'), '{WS_SQL}+', '-', 'g'), 1, 60) AS n FROM entries)""")
 def safe_filename(spark, d):
-    return entries(spark, d).select("pos", X.safe_filename("title", "type", "date").alias("filename"))
+    return written(spark, d).select("pos", X.safe_filename("title", "type", "date").alias("filename"))
 
 
 @query(f"SELECT page_id, CASE WHEN NOT regexp_matches(t, '[\"''<>\\\\]|{WS_SQL}') AND (regexp_matches(t, '(?i)^https?://') OR (regexp_matches(t, '^\\.{{0,2}}/') AND NOT starts_with(t, '//'))) THEN t ELSE '' END AS safe, CASE WHEN NOT regexp_matches(t, '[\"''()\\\\]|{WS_SQL}') AND regexp_matches(t, '(?i)^https://.') THEN t ELSE '' END AS safe_image FROM (SELECT page_id, {trimmed('url')} AS t FROM pages)", plain_sql=True)
@@ -322,32 +378,40 @@ def base64_roundtrip(spark, d):
     return docs.withColumn("decoded", X.from_base64("encoded"))
 
 
-@query("SELECT pos, 'https://example.org/w/#/e/' || id AS url, url_encode(title) AS encoded FROM entries")
+_KEPT = (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2A", "*"))
+_ENCODED = "url_encode(title || ' a+b!~*''()')"
+for _code, _char in _KEPT:
+    _ENCODED = f"replace({_ENCODED}, '{_code}', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"SELECT pos, 'https://example.org/w/#/e/' || id AS url, {_ENCODED} AS encoded FROM entries")
 def entry_urls(spark, d):
-    encoded = X.encode_component("title")
-    for char, code in (("!", "%21"), ("'", "%27"), ("(", "%28"), (")", "%29"), ("*", "%2A")):
-        encoded = F.replace(encoded, F.lit(char), F.lit(code))  # the SQL function escapes these too
-    return entries(spark, d).select("pos", X.entry_url("https://example.org/w/", "id").alias("url"), encoded.alias("encoded"))
+    return written(spark, d).select("pos", X.entry_url("https://example.org/w/", "id").alias("url"), X.encode_component(F.concat("title", F.lit(" a+b!~*'()"))).alias("encoded"))
 
 
-@query(f"SELECT pos, '── ' || CASE WHEN title = '' THEN upper(type[1]) || type[2:] ELSE title END || ' ──' || chr(10) || upper(type[1]) || type[2:] || ' · ' || upper(lang) || ' · ' || date || chr(10) || chr(10) || {trimmed('body')} || chr(10) AS value FROM shown")
+@query(f"SELECT pos, '── ' || CASE WHEN title = '' THEN upper(type[1]) || type[2:] ELSE title END || ' ──' || chr(10) || upper(type[1]) || type[2:] || ' · ' || upper(lang) || ' · ' || date || chr(10) || chr(10) || {trimmed('body')} || chr(10) || chr(10) || source AS value FROM shown")
 def export_text(spark, d):
-    return site.export_text(entries(spark, d).withColumn("credit", F.lit("")))
+    return site.export_text(entries(spark, d).withColumn("credit", F.col("tags")[0]))
 
 
-@query(f"SELECT id, CASE WHEN title = '' THEN '' ELSE title || chr(10) || chr(10) END || {plain_of(trimmed('body'))} || chr(10) || chr(10) || '— A. Writer' || chr(10) || 'https://example.org/w/#/e/' || id AS value FROM entries")
+@query(f"SELECT id, CASE WHEN title = '' THEN '' ELSE title || chr(10) || chr(10) END || {plain_of(trimmed('body'))} || chr(10) || chr(10) || source || chr(10) || chr(10) || '— A. Writer' || chr(10) || 'https://example.org/w/#/e/' || id AS value FROM entries")
 def entry_texts(spark, d):
-    return site.entry_texts(entries(spark, d).withColumn("credit", F.lit("")), "A. Writer", "https://example.org/w/")
+    return site.entry_texts(written(spark, d).withColumn("credit", F.col("source")), "A. Writer", "https://example.org/w/")
+
+
+_FLAT = f"regexp_replace({plain_of('t')}, '{WS_SQL}+', ' ', 'g')"
+_SHORT = f"CASE WHEN type = 'blog' THEN CASE WHEN length({_FLAT}) > 240 THEN {trimmed(f'substr({_FLAT}, 1, 240)')} || '…' ELSE {_FLAT} END ELSE string_split(t, chr(10))[1] || CASE WHEN len(string_split(t, chr(10))) > 1 THEN chr(10) || '…' ELSE '' END END"
 
 
-@query(f"SELECT pos, CASE WHEN title = '' THEN substr(regexp_replace({plain_of('string_split(' + trimmed('body') + ', chr(10))[1]')}, '{WS_SQL}+', ' ', 'g'), 1, 60) ELSE title END AS label FROM entries WHERE type <> 'blog'")
+@query(f"SELECT pos, CASE WHEN title <> '' THEN title ELSE substr(regexp_replace({plain_of('short')}, '{WS_SQL}+', ' ', 'g'), 1, 60) END AS label FROM (SELECT pos, title, {_SHORT} AS short FROM (SELECT pos, type, CASE WHEN pos % 2 = 0 THEN title ELSE '' END AS title, {trimmed('body')} AS t FROM entries))")
 def entry_label(spark, d):
-    return entries(spark, d).where("type <> 'blog'").select("pos", X.label("title", "type", "body").alias("label"))
+    """Every other entry has lost its title."""
+    return written(spark, d).select("pos", X.label(F.when(F.col("pos") % 2 == 0, F.col("title")).otherwise(""), F.col("type"), F.col("body")).alias("label"))
 
 
 @query("SELECT pos, CAST(CAST(date[9:10] AS INT) AS VARCHAR) || ' ' || strftime(CAST(date AS DATE), '%B') || ' ' || date[1:4] AS day FROM entries")
 def formatted_dates(spark, d):
-    return entries(spark, d).select("pos", i18n.format_date("date").alias("day"))
+    return written(spark, d).select("pos", i18n.format_date("date").alias("day"))
 
 
 @query("SELECT conv_id, turn, 'About: ' || role || chr(10) || 'From: ' || 'R' || conv_id || chr(10) || chr(10) || text || chr(10) || chr(10) || '— sent from Rooms' AS body, 'Feedback on Rooms — ' || role AS subject FROM conversations", plain_sql=True)
@@ -358,29 +422,41 @@ def feedback_messages(spark, d):
 
 # -------------------------------------------------------------------- merging
 def copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A local copy, a remote copy and the base both began with, cut out of the entries by remainders of pos."""
-    e = entries(spark, d).select("pos", "id", "type", "title")
+    """A local copy, a remote copy and the base both began with, of all entries: by remainders of pos some have other ids, or no id, or no stamp."""
+    e = entries(spark, d).select("pos", "id", "type", "title", "body", F.array_join("tags", ",").alias("tags"))
     p = F.col("pos")
     stamp = lambda k: F.format_string("2025-01-%02dT00:00:00.000Z", k)
-    local = e.where(p % 5 != 0).withColumn("updatedAt", stamp((p % 3 + 1).cast("int")))
-    remote = e.where(p % 7 != 0).withColumns({"updatedAt": stamp((p % 4 + 1).cast("int")), "title": F.concat(F.lit("remote "), F.col("title"))})
-    base = e.where(p % 2 == 0).select("id", stamp((p % 4 + p % 3).cast("int")).alias("updatedAt"))
+    own = F.when(p % 5 == 0, F.concat(F.lit("own_"), "id")).otherwise(F.col("id"))
+    theirs = F.when(p % 7 == 0, F.concat(F.lit("their_"), "id")).when(p % 41 != 0, F.col("id"))
+    local = e.withColumns({"id": own, "updatedAt": F.when(p % 11 != 0, stamp((p % 3 + 1).cast("int")))})
+    remote = e.withColumns({"id": theirs, "updatedAt": F.when(p % 13 != 0, stamp((p % 4 + 1).cast("int"))), "title": F.concat(F.lit("remote "), F.col("title"))})
+    base = e.select(F.when(p % 2 == 0, theirs).otherwise(F.concat(F.lit("gone_"), "id")).alias("id"), stamp((p % 4 + p % 3).cast("int")).alias("updatedAt")).where("id IS NOT NULL")
     return local, remote, base
 
 
 COPIES_SQL = """,
-local AS (SELECT pos, id, type, title, '2025-01-0' || (pos % 3 + 1) || 'T00:00:00.000Z' AS updatedAt FROM entries WHERE pos % 5 <> 0),
-remote AS (SELECT pos, id, type, 'remote ' || title AS title, '2025-01-0' || (pos % 4 + 1) || 'T00:00:00.000Z' AS updatedAt FROM entries WHERE pos % 7 <> 0),
-base AS (SELECT id, '2025-01-0' || (pos % 4 + pos % 3) || 'T00:00:00.000Z' AS updatedAt FROM entries WHERE pos % 2 = 0),
-actions AS (SELECT coalesce(l.id, r.id) AS id, l.pos AS lpos, r.pos AS rpos, l.title AS ltitle, r.title AS rtitle, l.updatedAt AS lat, r.updatedAt AS rat,
-  CASE WHEN r.id IS NULL THEN 'local_only' WHEN l.id IS NULL AND b.id IS NOT NULL AND NOT r.updatedAt > b.updatedAt THEN 'deletedHere' WHEN l.id IS NULL THEN 'kept' WHEN r.updatedAt > l.updatedAt THEN 'updated' ELSE 'local' END AS action
-  FROM local l FULL OUTER JOIN remote r ON l.id = r.id LEFT JOIN base b ON b.id = coalesce(l.id, r.id))
+own AS (SELECT *, array_to_string(tags, ',') AS tag_text, CASE WHEN pos % 5 = 0 THEN 'own_' || id ELSE id END AS own_id, CASE WHEN pos % 7 = 0 THEN 'their_' || id WHEN pos % 41 <> 0 THEN id END AS their_id FROM entries),
+local AS (SELECT pos, own_id AS id, type, title, body, tag_text AS tags, CASE WHEN pos % 11 <> 0 THEN '2025-01-0' || (pos % 3 + 1) || 'T00:00:00.000Z' END AS updatedAt FROM own),
+remote AS (SELECT pos, their_id AS id, type, 'remote ' || title AS title, body, tag_text AS tags, CASE WHEN pos % 13 <> 0 THEN '2025-01-0' || (pos % 4 + 1) || 'T00:00:00.000Z' END AS updatedAt FROM own),
+base AS (SELECT * FROM (SELECT CASE WHEN pos % 2 = 0 THEN their_id ELSE 'gone_' || id END AS id, '2025-01-0' || (pos % 4 + pos % 3) || 'T00:00:00.000Z' AS updatedAt FROM own) WHERE id IS NOT NULL),
+actions AS (SELECT coalesce(l.id, r.id) AS id, l, r,
+  CASE WHEN r.id IS NULL THEN 'local_only' WHEN l.id IS NULL AND b.id IS NOT NULL AND NOT coalesce(r.updatedAt, '') > b.updatedAt THEN 'deletedHere' WHEN l.id IS NULL THEN 'kept'
+    WHEN coalesce(r.updatedAt, '') > coalesce(l.updatedAt, '') THEN 'updated' ELSE 'local' END AS action
+  FROM local l FULL OUTER JOIN (SELECT * FROM remote WHERE id IS NOT NULL) r ON l.id = r.id LEFT JOIN base b ON b.id = coalesce(l.id, r.id))
 """
+FOLDED_SQL = COPIES_SQL + """SELECT id, action, CASE WHEN action = 'kept' THEN (SELECT max(pos) FROM local) + 1 + r.pos ELSE l.pos END AS pos, x.type, x.title, x.body, x.tags, x.updatedAt AS "updatedAt"
+  FROM (SELECT *, CASE WHEN action IN ('kept', 'updated') THEN r ELSE l END AS x FROM actions) WHERE action <> 'deletedHere'"""
 
 
-@query(COPIES_SQL + "SELECT id, action, CASE WHEN action = 'kept' THEN (SELECT max(pos) FROM local) + 1 + rpos ELSE lpos END AS pos, CASE WHEN action IN ('kept', 'updated') THEN rtitle ELSE ltitle END AS title, CASE WHEN action IN ('kept', 'updated') THEN rat ELSE lat END AS updatedAt FROM actions WHERE action <> 'deletedHere'")
+@query(FOLDED_SQL)
 def fold_entries(spark, d):
-    return merge.fold_entries(*copies(spark, d)).select("id", "action", "pos", "title", "updatedAt")
+    return merge.fold_entries(*copies(spark, d)).select("id", "action", "pos", "type", "title", "body", "tags", "updatedAt")
+
+
+@query(FOLDED_SQL.replace("SELECT id, action, ", "SELECT id, "))
+def draft_over_served(spark, d):
+    local, remote, base = copies(spark, d)
+    return site.current_entries(remote, local, base).select("id", "pos", "type", "title", "body", "tags", "updatedAt")
 
 
 @query(COPIES_SQL + "SELECT count(*) FILTER (action = 'kept') AS kept, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'deletedHere') AS \"deletedHere\" FROM actions")
@@ -400,41 +476,43 @@ def fold_collections(spark, d):
     return merge.fold_collections(c.where("pos < 4"), c, c.where("id IN ('c_5')")).select("id", "name", "pos")
 
 
-@query("""SELECT pos, title, CASE WHEN origin = 'old' OR pos2 % 5 = 0 THEN id END AS same_id FROM (
-  SELECT pos, pos AS pos2, id, title, 'old' AS origin FROM entries WHERE pos % 5 <> 0
-  UNION ALL SELECT (SELECT max(pos) FROM entries WHERE pos % 5 <> 0) + 1 + pos, pos, id, title, 'new' FROM entries WHERE pos % 3 = 0)""")
+@query("""SELECT pos, id, title FROM entries UNION ALL
+  SELECT (SELECT max(pos) FROM entries) + 1 + pos, CASE WHEN pos % 3 = 0 THEN 'e_' || sha256(id || chr(31) || pos || chr(31) || 'import')[1:12] ELSE 'n' || id END, 'new ' || title FROM entries""")
 def import_merge(spark, d):
-    e = entries(spark, d).select("pos", "id", "title")
-    merged = merge.import_merge(e.where("pos % 5 <> 0"), e.where("pos % 3 = 0"))
-    return merged.select("pos", "title", F.when(F.length("id") < 14, F.col("id")).alias("same_id"))
+    """All entries come in again under new titles, two thirds of them with ids of their own."""
+    e = written(spark, d).select("pos", "id", "title")
+    incoming = e.select("pos", F.when(F.col("pos") % 3 == 0, F.col("id")).otherwise(F.concat(F.lit("n"), "id")).alias("id"), F.concat(F.lit("new "), "title").alias("title"))
+    return merge.import_merge(e, incoming)
 
 
-@query("SELECT side, count(*) AS n FROM (SELECT 'a' AS side, pos FROM entries WHERE pos % 2 = 0 AND pos % 3 <> 0 UNION ALL SELECT 'b', pos FROM entries WHERE pos % 3 = 0 AND pos % 2 <> 0) GROUP BY side")
+@query("SELECT side, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['a', 'b']) AS side, pos FROM entries) WHERE pos % 4 = 1 GROUP BY side")
 def content_diff(spark, d):
+    """All entries against all of them with every fourth title changed."""
     e = entries(spark, d)
-    return merge.content_diff(e.where("pos % 2 = 0"), e.where("pos % 3 = 0"))
+    return merge.content_diff(e, e.withColumn("title", F.when(F.col("pos") % 4 == 1, F.concat("title", F.lit("!"))).otherwise(F.col("title"))))
 
 
 @query("SELECT id, array_to_string(CASE WHEN type = 'quote' AND NOT list_contains(collections, 'c_1') THEN list_append(collections, 'c_1') ELSE collections END, ',') AS collections, CASE WHEN type = 'quote' AND NOT list_contains(collections, 'c_1') THEN '2025-06-01T00:00:00.000Z' ELSE '' END AS updatedAt FROM entries")
 def set_membership(spark, d):
-    e = entries(spark, d).withColumn("updatedAt", F.lit(""))
+    e = written(spark, d).withColumn("updatedAt", F.lit(""))
     return changes.set_membership(e, F.col("type") == "quote", "c_1", True, NOW).select("id", F.array_join("collections", ",").alias("collections"), "updatedAt")
 
 
 @query("SELECT id, array_to_string(list_filter(collections, lambda x: x <> 'c_2'), ',') AS collections FROM entries")
 def cascade_delete(spark, d):
-    return merge.cascade_delete(entries(spark, d), collections(spark), "c_2")[0].select("id", F.array_join("collections", ",").alias("collections"))
+    return merge.cascade_delete(written(spark, d), collections(spark), "c_2")[0].select("id", F.array_join("collections", ",").alias("collections"))
 
 
-@query("SELECT pos, id, title FROM entries UNION ALL SELECT (SELECT min(pos) FROM entries) - 1 - row_number() OVER (ORDER BY pos) + 1, 'new_' || id, title FROM (SELECT * FROM entries WHERE pos < 5)")
+@query("SELECT pos, id, title, '' AS \"updatedAt\" FROM entries UNION ALL SELECT (SELECT min(pos) FROM entries) - row_number() OVER (ORDER BY pos), 'new_' || id, title, '2025-06-01T00:00:00.000Z' FROM entries")
 def insert_entries(spark, d):
-    e = entries(spark, d).select("pos", "id", "title", F.lit("").alias("updatedAt"))
-    return changes.insert_entries(e, e.where("pos < 5").withColumn("id", F.concat(F.lit("new_"), "id")), NOW).select("pos", "id", "title")
+    """All entries are added once more."""
+    e = written(spark, d).select("pos", "id", "title", F.lit("").alias("updatedAt"))
+    return changes.insert_entries(e, e.withColumn("id", F.concat(F.lit("new_"), "id")), NOW)
 
 
 @query("SELECT id, type, title, CASE WHEN lang = 'de' THEN '2025-06-01T00:00:00.000Z' ELSE '' END AS updatedAt, pinned OR lang = 'de' AS pinned FROM entries")
 def update_entries(spark, d):
-    e = entries(spark, d).withColumn("updatedAt", F.lit(""))
+    e = written(spark, d).withColumn("updatedAt", F.lit(""))
     return changes.update_entries(e, F.col("lang") == "de", {"pinned": F.lit(True), "updatedAt": F.lit("old")}, NOW).select("id", "type", "title", "updatedAt", "pinned")
 
 
@@ -444,9 +522,26 @@ def delete_entries(spark, d):
     return changes.delete_entries(entries(spark, d), bad).select("id", "title")
 
 
-@query("SELECT * FROM (VALUES ('c_0', 6.0), ('c_1', 5.0), ('c_2', 4.0), ('c_3', 2.0), ('c_4', 3.0), ('c_5', 1.0), ('c_6', 0.0), ('c_empty', 7.0)) t(id, \"order\")", plain_sql=True)
+def shelves(spark: SparkSession, d: str) -> DataFrame:
+    """A collection for each nation; some have no order."""
+    n = F.col("n_nationkey")
+    return table(spark, d, "nation").select(F.concat(F.lit("n_"), n.cast("string")).alias("id"), F.col("n_name").alias("name"), F.when(n % 4 != 0, (n * 7 % 25).cast("double")).alias("order"), n.cast("long").alias("pos"))
+
+
+SHELVES_SQL = "WITH shelves AS (SELECT 'n_' || n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 4 <> 0 THEN CAST(n_nationkey * 7 % 25 AS DOUBLE) END AS \"order\", CAST(n_nationkey AS BIGINT) AS pos FROM nation), ranked AS (SELECT *, row_number() OVER (ORDER BY coalesce(\"order\", 0), pos) - 1 AS r FROM shelves), spot AS (SELECT r AS k FROM ranked WHERE id = 'n_3') "
+
+
+@query(SHELVES_SQL + "SELECT 'up' AS way, id, CAST(CASE WHEN r = k AND k > 0 THEN k - 1 WHEN r = k - 1 THEN k ELSE r END AS DOUBLE) AS \"order\" FROM ranked, spot UNION ALL SELECT 'down', id, CAST(CASE WHEN r = k AND k < 24 THEN k + 1 WHEN r = k + 1 THEN k ELSE r END AS DOUBLE) FROM ranked, spot UNION ALL SELECT 'first up', id, CAST(r AS DOUBLE) FROM ranked", plain_sql=True)
 def move_collection(spark, d):
-    return changes.move(collections(spark), "c_4", 1).select("id", "order")
+    rows = shelves(spark, d)
+    moved = [changes.move(rows, who, by).select(F.lit(way).alias("way"), "id", "order") for way, who, by in (("up", "n_3", -1), ("down", "n_3", 1), ("first up", "n_0", -1))]
+    return moved[0].unionByName(moved[1]).unionByName(moved[2])
+
+
+@query(SHELVES_SQL + "SELECT id, name, pos FROM shelves UNION ALL SELECT 'x_' || id, name, 25 + pos FROM shelves", plain_sql=True)
+def insert_collections(spark, d):
+    rows = shelves(spark, d)
+    return changes.insert_collection(rows, rows.withColumn("id", F.concat(F.lit("x_"), "id"))).select("id", "name", "pos")
 
 
 # ------------------------------------------------------------------- colours
@@ -503,11 +598,21 @@ def spread_stops(spark, d):
     return hexes(spark, d).select("p_partkey", F.array_join(F.transform(spread, lambda s: F.concat(s["c"], F.lit("@"), s["p"].cast("long").cast("string"))), " ").alias("four"))
 
 
-@query("SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '(?i)^[a-z]{3,20}$') THEN p_brand ELSE 'none' END AS colour FROM part", plain_sql=True)
+@query(HEX_SQL + """SELECT p_partkey, CASE WHEN p_partkey % 8 IN (0, 1, 2, 3, 4) THEN trim(given) ELSE 'none' END AS colour, CASE WHEN p_partkey % 8 IN (0, 1, 2, 3, 4) THEN trim(given) ELSE 'transparent' END AS plain FROM (
+  SELECT *, CASE p_partkey % 8 WHEN 0 THEN a WHEN 1 THEN ' ' || upper(b) || ' ' WHEN 2 THEN 'rgba(' || xr || ', ' || xg || ',1,.5)' WHEN 3 THEN 'hsl(' || xb || 'deg 10% 20%)' WHEN 4 THEN 'Teal' WHEN 5 THEN '#ggg' WHEN 6 THEN 'red), url(x' ELSE '' END AS given FROM c)""", plain_sql=True)
 def safe_colours(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.safe_colour("p_brand", "none").alias("colour"))
+    k, rgb = F.col("p_partkey") % 8, C.hex_to_rgb("a")
+    part = lambda f: rgb[f].cast("string")
+    given = (
+        F.when(k == 0, F.col("a")).when(k == 1, F.concat(F.lit(" "), F.upper("b"), F.lit(" "))).when(k == 2, F.concat(F.lit("rgba("), part("r"), F.lit(", "), part("g"), F.lit(",1,.5)")))
+        .when(k == 3, F.concat(F.lit("hsl("), part("b"), F.lit("deg 10% 20%)"))).when(k == 4, "Teal").when(k == 5, "#ggg").when(k == 6, "red), url(x").otherwise("")
+    )
+    return hexes(spark, d).select("p_partkey", given.alias("given")).select("p_partkey", X.safe_colour("given", "none").alias("colour"), X.safe_colour("given").alias("plain"))
 
 
 @query("SELECT p_partkey, greatest(1, CAST(floor(w * s + 0.5) AS BIGINT)) AS width, greatest(1, CAST(floor(h * s + 0.5) AS BIGINT)) AS height FROM (SELECT *, least(1.0, 1600.0 / greatest(w, h)) AS s FROM (SELECT p_partkey, CAST(p_size * 97 AS DOUBLE) AS w, CAST(p_partkey % 3000 + 1 AS DOUBLE) AS h FROM part))", plain_sql=True)
 def downscale(spark, d):
     return table(spark, d, "part").select("p_partkey", C.downscale(F.col("p_size") * 97, F.col("p_partkey") % 3000 + 1).alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+from foliospark.plans import site_queries  # noqa: E402, F401  registers the queries on whole sites

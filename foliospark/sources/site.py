@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions.text import as_text, blank_to, clean_lines, detect_lang, entry_url, export_block, kind_of_body, text, title_of_file, trim, uid
+from foliospark.operators.merge import fold_entries
 from foliospark.operators.select import order_keys, visible
 
 _STOPS = "array<struct<c:string,p:string>>"
@@ -133,6 +132,11 @@ def layered(published: DataFrame, recent: DataFrame | None, now_ms: int, minutes
     return newer.unionByName(published.join(none).select(*published.columns))
 
 
+def current_entries(served: DataFrame, draft: DataFrame | None, base: DataFrame | None) -> DataFrame:
+    """What an admin sees: the draft folded over the served entries, or these where there is no draft. For readers, the served ones."""
+    return served if draft is None else fold_entries(draft, served, base).drop("action")
+
+
 def to_document(sites: DataFrame, now: str, backup: bool = False) -> DataFrame:
     """``value``: the JSON of each site, nulls kept and the stamp renewed; a backup leaves out the passphrase settings."""
     rows = sites.withColumn("updatedAt", F.lit(now))
@@ -173,7 +177,3 @@ def import_drafts(files: DataFrame, today: str) -> DataFrame:
     body = trim(clean_lines("raw"))
     rows = files.select(title_of_file("name").alias("title"), body.alias("body"), detect_lang("raw").alias("lang"), kind_of_body(body).alias("type"), "name").where("body <> ''")
     return rows.withColumns({"draft": F.lit(True), "date": F.lit(today), "id": uid("e_", "name", "body")}).drop("name")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
