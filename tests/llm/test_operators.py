@@ -421,6 +421,37 @@ def test_leak_recall(spark):
     assert len([i for i in hit if i < 240]) >= 0.98 * 240 and not [i for i in hit if i >= 1000]
 
 
+def least_edits(item, words):
+    """Least edits from the item to any run of the words."""
+    row = [0] * (len(words) + 1)
+    for i, w in enumerate(item, 1):
+        new = [i]
+        for j, v in enumerate(words, 1):
+            new.append(min(row[j - 1] + (v != w), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_as_all_pairs_by_brute_force(spark):
+    """Items of several sizes, some alike, edited up to and beyond the limit: nothing false, and the target recall."""
+    rng = random.Random(15)
+    items = [prose(rng, n) for n in (3, 8, 8, 12, 20, 20, 33)]
+    items += [" ".join([*items[4].split(" ")[:17], "x", "y", "z"])]
+    rows = []
+    for i in range(160):
+        w = items[i % 8].split(" ")
+        for _ in range(rng.randrange(0, len(w) // 3 + 1)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [rng.choice(WORDS)] * rng.randrange(2)
+            w = w or ["left"]
+        rows.append((i, " ".join([prose(rng, rng.randrange(1, 20)), *w, prose(rng, rng.randrange(1, 20))])))
+    got = leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    want = {(i, j): e for i, t in rows for j, x in enumerate(items) for e in [least_edits(x.split(" "), t.split(" "))] if e <= len(x.split(" ")) * 0.25}
+    found = {(r.doc_id, r.item_id): r.distance for r in got}
+    assert set(found) <= set(want) and len(found) >= 0.98 * len(want) and all(want[k] <= d for k, d in found.items())
+    assert sum(want[k] == d for k, d in found.items()) >= 0.98 * len(found)
+
+
 def test_best_match():
     a = np.array([1, 2, 3, 4], np.uint64)
     assert best_match(a, np.array([9, 1, 2, 3, 4, 9], np.uint64)) == (0, 5)
