@@ -3,6 +3,11 @@
 quality classifier -> n-gram Jaccard join -> suffix-array dedup -> benchmark
 decontamination -> packing. Each stage takes (spark, docs, sf_dir) and works on
 all that its predecessor kept; all but the last return the columns of documents.
+
+In every stage: a null text is an empty one; rows are told apart by a hash of id
+and text, so null ids and ids of several texts are rows like others, and rows that
+are the same in both are decided on alike; columns other than those of documents
+are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations

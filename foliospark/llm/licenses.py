@@ -1,8 +1,9 @@
-"""License scans: the rare words of a template pick candidates, banded alignment reports spans.
+"""License scans: winnowed fingerprints of templates pick candidates, banded alignment reports spans.
 
-Of any missing + k places of a template, k at least hold a word of each text that
-lacks no more than ``missing`` of its words; words between them do not matter,
-as they would for longer fingerprints.
+A template's fingerprints are single words, so that words between them do not
+matter. Of m words of which d may be missing, some ceil((m - d) / (d + 1)) in a
+row are left; winnowing with a window of that size takes one of any such run, so
+each text at the stated coverage holds a fingerprint, and all but d at least.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 BAND = 12
-#: Words of so many letters may be fingerprints beyond those that a template needs.
-RARE = 6
 MATCH, GAP = 2, 1
 
 
@@ -82,13 +81,15 @@ def align(template: np.ndarray, words: np.ndarray, start: int, band: int) -> tup
 
 
 def fingerprints(text: str, missing: int) -> tuple[list[int], int]:
-    """(places, least): places of the longest words of a template, of which a text with all but ``missing`` words has ``least`` or more."""
-    raw = text.lower().encode()
-    words = words_of([raw], letters_only=True)
-    size = words.ends - words.starts
-    order = np.lexsort((np.arange(len(size)), -size))
-    number = max(missing + 1, int((size >= RARE).sum()))
-    return sorted(order[:number].tolist()), min(number, len(size)) - missing
+    """(places, least): winnowed words of a template, and how many of them a text with all but ``missing`` words has at least.
+
+    Of a window's words the longest is taken, for long words are rare.
+    """
+    words = words_of([text.lower().encode()], letters_only=True)
+    size = np.minimum(words.ends - words.starts, 255).astype(np.uint64)
+    longest_first = (np.uint64(255) - size) << np.uint64(48) | words.hashes >> np.uint64(16)
+    places = winnow(longest_first, max(1, -(-(len(size) - missing) // (missing + 1))))
+    return places, max(1, len(places) - missing)
 
 
 def may_reach(template: np.ndarray, words: np.ndarray, start: int, band: int) -> int:

@@ -83,11 +83,19 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Decodes each stored GIF and describes it: the payload that its shown colours spell, and its colour histogram."""
+    """Decodes each stored GIF and describes it: the payload that its shown colours spell, and its colour histogram.
+
+    A null medium gives a row of nulls beside its id; rows that repeat are decoded
+    each; an empty table gives no rows.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(10)]
         for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if data is None:
+                for column, value in zip(out, (doc, *[None] * 9), strict=True):
+                    column.append(value)
+                continue
             image = gif.decode(data)
             shown = image.shown()
             payload = b"".join(indices_of(s[f.top : f.top + f.height, f.left : f.left + f.width]).tobytes() for s, f in zip(shown, image.frames, strict=True))

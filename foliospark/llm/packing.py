@@ -36,7 +36,7 @@ def cut_lengths(n: int, capacity: int, smallest: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, smallest: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of each document, with the checksum of their ids."""
+    """The pieces of each document, with the checksum of their ids; a null or empty text is the end id alone."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = bpe.id_encoder(bpe.tokenizer_path(tokenizer), True)
@@ -74,7 +74,9 @@ def pack_pieces(spark: SparkSession, cut: DataFrame, capacity: int) -> DataFrame
     Class k holds the lengths in (capacity / (k + 1), capacity / k], and k of them
     make a bin. Groups of pieces, by hash, fill their classes' bins without a word
     to each other. What stays in unfilled bins goes to a level with fewer groups,
-    and so on; the last few pieces, under one bin a class, go first-fit.
+    and so on; the last few pieces, under one bin a class, go first-fit. Ties are
+    broken by the pieces' columns, so equal pieces may change places; null ids are
+    ids like others; rows that repeat are packed each; an empty table gives no rows.
     """
     n = cut.count()
     salts, level, first = max(1, -(-n // GROUP_PIECES)), 0, 0

@@ -50,7 +50,7 @@ def statistics(text: str) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and STATS, of each row."""
+    """doc_id and STATS, of each row; of null and empty texts all are 0."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.float64)
@@ -174,11 +174,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000) -> RuleE
     """Learns from labelled rows whose fold is not held out, ``sample_rows`` of them at most.
 
     The sample is the ids with the least hashes, so it is the same at every run;
-    its size does not grow with the tables. Null labels are left out.
+    its size does not grow with the tables. Null labels and ids are left out; of
+    an id with several labels or texts the greatest counts, once; an empty table
+    gives a model that scores 0.5. Only doc_id, text and quality are read, so
+    other columns of any name do not matter.
     """
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
     ids = ids.orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(sample_rows)
-    sample = docs.join(F.broadcast(ids), docs["doc_id"] == ids["label_id"]).select("doc_id", "text", "quality")  # sample_rows at most
+    sample = texts_of(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")  # sample_rows at most
     by_id = sample.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("text").alias("text"))
     stats = with_statistics(by_id).join(by_id.select(F.col("doc_id").alias("q_id"), "quality"), F.col("doc_id") == F.col("q_id")).orderBy("doc_id")
     rows = stats.select("quality", *STATS).toArrow()
@@ -187,6 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000) -> RuleE
 
 
 def quality_scores(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted, of each row; a null text is scored as an empty one."""
+    """doc_id, held_out, score, predicted, of each row.
+
+    A null text is scored as an empty one; a null id is not held out; rows that
+    repeat are scored each; an empty table gives no rows; no shuffle.
+    """
     scored = with_statistics(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
