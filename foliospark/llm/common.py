@@ -71,6 +71,10 @@ def release(but: str = "") -> None:
         KEPT.pop(owner).clear()
 
 
+#: Bytes of an Arrow batch at most, but for single rows; Spark's own bound is 64 MB, held by the JVM and the worker of every task.
+ARROW_BYTES = 12 << 20
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 4 << 20, keeps: str = "") -> DataFrame:
     """``fn`` on slices of each Arrow batch of about ``most_bytes``, so that what it makes of them stays small.
 
@@ -87,6 +91,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None:
                     yield out
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.mapInArrow(run, schema)
 
 
