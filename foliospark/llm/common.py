@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -61,14 +64,28 @@ def discard(spark: SparkSession, *stored: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Seconds between two times that a worker gives free memory back.
+TRIM_SECONDS = 2.0
 #: What a worker process keeps from task to task, by owner; Spark gives a worker's next task to any operator.
 KEPT: dict[str, dict] = {}
 
 
+_trimmed = [0.0]
+
+
 def release(but: str = "") -> None:
-    """Forgets what other operators have kept in this worker."""
+    """Forgets what other operators have kept in this worker, and gives free memory back now and then.
+
+    Workers live on from stage to stage; memory that one stage's arrays left free
+    would otherwise count beside what the next one needs.
+    """
     for owner in [k for k in KEPT if k != but]:
         KEPT.pop(owner).clear()
+    if time.monotonic() - _trimmed[0] > TRIM_SECONDS:
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+        _trimmed[0] = time.monotonic()
 
 
 #: Bytes of an Arrow batch at most, but for single rows; Spark's own bound is 64 MB, held by the JVM and the worker of every task.
