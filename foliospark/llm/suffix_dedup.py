@@ -26,6 +26,8 @@ U = np.uint64
 GROUP_BYTES, INDEX_BYTES = 1 << 19, 1 << 19
 #: More different stretches of one minimizer than this are compared window by window.
 INDEXED_STRETCHES = 2_000
+#: Tasks at most that the indexes are dealt to.
+INDEX_TASKS = 8_192
 _POSITION_BITS = U(22)
 
 
@@ -85,7 +87,8 @@ def pieces_of(texts: list[bytes], length: int):
         yield group
 
 
-STRETCH = "kind int, key long, first int, last int, seed long, whole long, weight long"
+#: Not null, lest a filter on one branch of the plan keep the other from sharing its shuffle.
+STRETCH = ", ".join(f"{c} not null" for c in ("kind int", "key long", "first int", "last int", "seed long", "whole long", "weight long"))
 
 
 def all_stretches(keyed: DataFrame, length: int, seed: int) -> DataFrame:
@@ -128,12 +131,16 @@ def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 def repeat_spans(spark: SparkSession, keyed: DataFrame, length: int, seed: int) -> DataFrame:
     """key, start, stop: byte spans of the texts that repeated windows cover, overlapping as they may; keyed: key, text."""
     rows = all_stretches(keyed, length, seed)
-    same, of_seed = Window.partitionBy("kind", "seed", "whole"), Window.partitionBy("kind", "seed")
-    counted = rows.withColumn("n", F.sum("weight").over(same)).withColumn("rn", F.row_number().over(same.orderBy("key", "first")))
-    counted = counted.withColumn("kinds", F.sum((F.col("rn") == 1).cast("long")).over(of_seed))
-    known = (F.col("kind") == 1) | (F.col("n") > 1)
-    asked = (F.col("kind") == 0) & (F.col("rn") == 1) & (F.col("kinds") > 1)
-    stretch = materialize(spark, counted.where(known | asked).select("key", "first", "last", "seed", known.alias("known"), asked.alias("asked"), (F.col("kinds") > INDEXED_STRETCHES).alias("many")), "stretches")
+    # equal stretches: one row for each slice of text that has them
+    same = Window.partitionBy("kind", "seed", "whole")
+    counted = rows.withColumn("rn", F.row_number().over(same.orderBy("key", "first", "last", "weight"))).withColumn("n", F.sum("weight").over(same))
+    # different stretches of a minimizer may be as many as the documents: they are counted in part before they are
+    # sent, and joined with the counts by a merge, of which a hot partition is split (a window's could not be)
+    seeds = counted.where("weight > 0").groupBy("kind", "seed").agg(F.sum((F.col("rn") == 1).cast("long")).alias("kinds")).where("kinds > 1").select("seed", "kinds")
+    known, one = (F.col("kind") == 1) | (F.col("n") > 1), (F.col("weight") > 0) & (F.col("rn") == 1)
+    found = counted.select("key", "first", "last", "seed", known.alias("known"), one.alias("one")).join(seeds.hint("merge"), "seed", "left")
+    found = found.withColumn("asked", F.col("one") & F.col("kinds").isNotNull()).where("known OR asked")
+    stretch = materialize(spark, found.select("key", "first", "last", "seed", "known", "asked", (F.col("asked") & (F.col("kinds") > INDEXED_STRETCHES)).alias("many")), "stretches")
     size = stretch.where("asked AND NOT many").agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
     shards = max(1, -(-size // INDEX_BYTES))
 
@@ -172,7 +179,9 @@ def repeat_spans(spark: SparkSession, keyed: DataFrame, length: int, seed: int)
                 stop.append(first + b)
         return pa.table({"key": pa.array(key, pa.int64()), "start": pa.array(start, pa.int32()), "stop": pa.array(stop, pa.int32())})
 
-    indexed = gathered.where("shard IS NOT NULL").select("shard", "key", "first", "body").groupBy("shard").applyInArrow(index, "key long, start int, stop int")
+    # a number of its own, so that small partitions with much to compute are not put together
+    spread = gathered.where("shard IS NOT NULL").select("shard", "key", "first", "body").repartition(min(shards, INDEX_TASKS), "shard")
+    indexed = spread.groupBy("shard").applyInArrow(index, "key long, start int, stop int")
     windows = gathered.where("window IS NOT NULL").select("window", "key", "first")
     often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     single = windows.join(often, "window").select("key", F.col("first").alias("start"), (F.col("first") + length).alias("stop"))
