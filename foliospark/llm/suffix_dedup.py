@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import map_batches, materialize, release
+from foliospark.llm.common import map_batches, map_further, materialize, release
 from foliospark.llm.run_index import repeated_starts
 from foliospark.llm.words import Hashed, mix
 
@@ -242,7 +242,7 @@ def dedup_report(spans: DataFrame) -> DataFrame:
         n, r, s, h = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_batches(spans, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_further(spans, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(spans: DataFrame) -> DataFrame:
@@ -253,5 +253,5 @@ def dedup_texts(spans: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("carried")], names=["doc_id", "text", "carried"])
 
     carried = spans.schema["carried"].dataType
-    kept = map_batches(spans, run, f"doc_id long, text string, carried {carried.simpleString()}")
+    kept = map_further(spans, run, f"doc_id long, text string, carried {carried.simpleString()}")
     return kept.select("doc_id", "text", *(F.col("carried").getField(f.name).alias(f.name) for f in carried.fields if f.name != "none"))

@@ -7,7 +7,6 @@ Its 64-bit hash is a polynomial over random byte values, taken from prefix sums.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -30,13 +29,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+#: Powers of the base and of its inverse that a worker keeps: the most asked for so far, and at most so many.
+KEPT_POWERS = 1 << 21
+_kept = [np.empty(0, np.uint64)] * 2
+
+
+def _powers(least: int) -> tuple[np.ndarray, np.ndarray]:
+    """``least`` powers or more."""
+    if len(_kept[0]) >= least:
+        return _kept[0], _kept[1]
     out = []
     for base in (_BASE, _INVERSE):
-        p = np.full(size, base, np.uint64)
+        p = np.full(-(-least // 65536) * 65536, base, np.uint64)
         p[0] = 1
-        out.append(np.multiply.accumulate(p))
+        out.append(np.multiply.accumulate(p, out=p))
+    if len(out[0]) <= KEPT_POWERS:
+        _kept[:] = out
     return out[0], out[1]
 
 
@@ -49,7 +57,7 @@ class Hashed:
 
     def __init__(self, data: bytes) -> None:
         self.bytes = np.frombuffer(data, np.uint8)
-        powers, self.inverse = _powers(1 << max(16, len(data).bit_length()))
+        powers, self.inverse = _powers(len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_RAW[self.bytes] * powers[: len(data)], out=self.total[1:])
 
@@ -80,8 +88,7 @@ def words_of(texts: list[bytes], letters_only: bool = False) -> Words:
     blank = space[data]
     edge = np.flatnonzero(np.diff(np.r_[True, blank].view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    size = 1 << max(16, int(len(data)).bit_length())
-    powers, inverse = _powers(size)
+    powers, inverse = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers[: len(data)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts])
