@@ -15,6 +15,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import regex
@@ -33,9 +34,18 @@ _CHUNK = re.compile(f"[^{SPACE}]+")
 _CUT = re.compile(rb"[^\t-\r ][\t-\r ]")
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: What plain bytes are (0: a chunk with such a byte is not plain), and each with A-Z as small letters.
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[[39, 60]] = 0  # ' begins words of its own, < special strings
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 #: How words with ends are cut; white space between them is dropped.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
-#: Slots of a worker's table of chunks, of which half are used; numbers that these may have together before it is emptied.
+#: Slots of a worker's table of chunks, of which half are used; numbers that these may have together before a new one is begun.
 SLOTS, KEPT_NUMBERS = 1 << 21, 1 << 22
 #: UTF-8 bytes of text whose chunks are looked up together.
 LOOKUP_BYTES = 1 << 20
@@ -140,17 +150,17 @@ def folded(text: str) -> str:
 class Table:
     """Hash -> number, open-addressed; whole arrays are looked up and added at a time. 0 is no hash."""
 
-    def __init__(self) -> None:
-        self.keys, self.values, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), 0
+    def __init__(self, slots: int) -> None:
+        self.last, self.keys, self.values, self.size = slots - 1, np.zeros(slots, np.uint64), np.zeros(slots, np.int64), 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 for one that is not there."""
-        at = (hashes >> U(20)).astype(np.int64) & (SLOTS - 1)
+        at = (hashes >> U(20)).astype(np.int64) & self.last
         there = self.keys[at]
         out = np.where(there == hashes, self.values[at], -1)
         other = np.flatnonzero((there != hashes) & (there != 0))
         while len(other):
-            at[other] = (at[other] + 1) & (SLOTS - 1)
+            at[other] = (at[other] + 1) & self.last
             there = self.keys[at[other]]
             same = there == hashes[other]
             out[other[same]] = self.values[at[other[same]]]
@@ -159,14 +169,14 @@ class Table:
 
     def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
         """Distinct hashes that are not there, fewer than there is room for."""
-        at, left = (hashes >> U(20)).astype(np.int64) & (SLOTS - 1), np.arange(len(hashes))
+        at, left = (hashes >> U(20)).astype(np.int64) & self.last, np.arange(len(hashes))
         while len(left):
             free = left[self.keys[at[left]] == 0]
             self.keys[at[free]] = hashes[free]  # of several for one slot the last stays
             won = self.keys[at[left]] == hashes[left]
             self.values[at[left[won]]] = values[left[won]]
             left = left[~won]
-            at[left] = (at[left] + 1) & (SLOTS - 1)
+            at[left] = (at[left] + 1) & self.last
         self.size += len(hashes)
 
 
@@ -203,12 +213,51 @@ def chunk_spans(raw: list[bytes], spaced: bool) -> tuple[bytes, np.ndarray, np.n
 class WordMaker:
     """The numbers of chunks from those of their words; all the chunks that are new are cut together.
 
+    Where words are folded, chunks of plain ASCII are cut in numpy, and their words
+    told apart by 64-bit hashes; the others are cut by the pattern.
     words: the numbers of each of some words, as bytes; whole: those of a chunk that may hold a special string, or MARK.
     """
 
     def __init__(self, pattern: str, fold: bool, words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes]) -> None:
         self.pattern, self.fold, self.words, self.whole = regex.compile(rf"{MARK}|" + pattern.replace("[^", f"[^{MARK}")), fold, words, whole
         self.kept: dict[str, bytes] = {}
+        self.known = Known(SLOTS // 2)  # of plain words
+
+    def of(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many numbers each chunk has, and all of these."""
+        sizes, plain = ends - starts, np.zeros(len(starts), bool)
+        if self.fold:
+            data = np.frombuffer(joined, np.uint8)[_places(starts, sizes)]
+            plain = np.logical_and.reduceat(_KIND[data] > 0, np.cumsum(sizes) - sizes)
+        lengths = np.empty(len(starts), np.int64)
+        rest = np.flatnonzero(~plain)
+        made = self([joined[a:b].decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]) if len(rest) else []
+        lengths[rest] = np.fromiter(map(len, made), np.int64, len(made)) >> 2
+        numbers = np.frombuffer(b"".join(made), "<u4")
+        if not plain.any():
+            return lengths, numbers
+        lengths[plain], of_plain = self._plain(data[np.repeat(plain, sizes)], sizes[plain])
+        out, begins = np.empty(int(lengths.sum()), np.uint32), np.cumsum(lengths) - lengths
+        out[_places(begins[plain], lengths[plain])] = of_plain
+        out[_places(begins[rest], lengths[rest])] = numbers
+        return lengths, out
+
+    def _plain(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``of`` for chunks of these sizes that stand one behind the other: runs of letters, single digits, runs of others."""
+        kind, begins = _KIND[data], np.cumsum(sizes) - sizes
+        begin = kind == _DIGIT
+        begin[1:] |= kind[1:] != kind[:-1]
+        begin[begins] = True
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], len(data))
+        small = _SMALL[data].tobytes()
+
+        def make(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            made = self.words([small[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            return np.fromiter(map(len, made), np.int64, len(made)) >> 2, np.frombuffer(b"".join(made), "<u4")
+
+        lengths, numbers = self.known.of(Hashed(small).substrings(starts, ends) | U(1), make)
+        return np.add.reduceat(lengths, np.searchsorted(starts, begins)), numbers
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
         joined = MARK.join(chunks) + MARK
@@ -226,70 +275,99 @@ class WordMaker:
         distinct.discard(MARK)
         numbers = {w: self.kept[w] for w in distinct & self.kept.keys()}
         new = list(distinct - numbers.keys())
-        numbers.update(zip(new, self.words(new), strict=True))
-        self.kept.update((w, numbers[w]) for w in new if len(w) <= CACHED_LENGTH)
-        numbers[MARK] = b""
+        made_new = dict(zip(new, self.words(new), strict=True))
+        numbers.update(made_new)
+        for w in [w for w in new if len(w) > CACHED_LENGTH]:
+            del made_new[w]
+        self.kept.update(made_new)
+        numbers[MARK] = b"\0"  # one byte, and so no number
         made = list(map(numbers.__getitem__, words))
-        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        marks = np.cumsum(sizes)[sizes == 1].tolist()
         all_of = b"".join(made)
-        marks = np.fromiter((w == MARK for w in words), bool, len(words))
-        return [all_of[a:b] for a, b in itertools.pairwise([0, *ends[marks].tolist()])]
+        return [all_of[a : b - 1] for a, b in itertools.pairwise([0, *marks])]
 
 
-class Chunks:
-    """The 32-bit numbers that a function makes of each chunk, looked up for whole groups of texts.
+def _places(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    out = np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
+    out += np.arange(len(out))
+    return out
 
-    Chunks are told apart by 64-bit hashes. Those of a group are hashed and looked
-    up together; only the ones that the table lacks are made, once each. A table
-    that is half full is emptied.
-    make: the numbers of some chunks, as bytes; slow: those of a whole text, for texts with other white space.
+
+class Known:
+    """The 32-bit numbers that belong to 64-bit hashes, in a table and a store.
+
+    A table that is half full is put aside for the one before it; what it has is
+    taken over when it is met again, and so what is frequent stays.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], slow: Callable[[str], bytes], spaced: bool) -> None:
-        self.make, self.slow, self.spaced = make, slow, spaced
-        self.clear()
+    def __init__(self, slots: int) -> None:
+        self.slots, self.aside = slots, None
+        self._begin()
 
-    def clear(self) -> None:
-        self.table, self.store, self.used = Table(), np.empty(1 << 16, np.uint32), 0
+    def _begin(self) -> None:
+        self.table, self.store, self.used = Table(self.slots), np.empty(1 << 16, np.uint32), 0
+
+    def of(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """How many numbers each hash has, and all of these; make: the same of the hashes at some places, each of them new."""
+        lengths, numbers = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for i in range(0, len(hashes), self.slots // 4):
+            values = self._values(hashes[i : i + self.slots // 4], lambda at, i=i: make(at + i))
+            lengths.append(values & 0xFFFFFFFF)
+            numbers.append(self.store[_places(values >> 32, lengths[-1])])
+        return np.concatenate(lengths), np.concatenate(numbers)
 
-    def _values(self, joined: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Place << 32 | length in the store, of every chunk."""
+    def _values(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Place << 32 | length in the store, of every hash."""
         found = self.table.find(hashes)
         lacking = np.flatnonzero(found < 0)
         if not len(lacking):
             return found
         new, first, number = np.unique(hashes[lacking], return_index=True, return_inverse=True)
-        if self.table.size and (self.table.size + len(new) > SLOTS // 2 or self.used > KEPT_NUMBERS):
-            self.clear()
-            return self._values(joined, starts, ends, hashes)
-        at = lacking[first]
-        made = self.make([joined[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        lengths = np.fromiter(map(len, made), np.int64, len(made)) >> 2
-        more = np.frombuffer(b"".join(made), "<u4")
+        if self.table.size and (self.table.size + len(new) > self.slots // 2 or self.used > KEPT_NUMBERS):
+            self.aside = self.table, self.store
+            self._begin()
+            return self._values(hashes, make)
+        before = self.aside[0].find(new) if self.aside else np.full(len(new), -1)
+        met = before >= 0
+        lengths, more = before[met] & 0xFFFFFFFF, np.empty(0, np.uint32)
+        if len(lengths):
+            more = self.aside[1][_places(before[met] >> 32, lengths)]
+        if not met.all():
+            made = make(lacking[first[~met]])
+            lengths, more = np.concatenate([lengths, made[0]]), np.concatenate([more, made[1]])
         if self.used + len(more) > len(self.store):
             self.store = np.concatenate([self.store[: self.used], np.empty(max(len(more), len(self.store)), np.uint32)])
         self.store[self.used : self.used + len(more)] = more
-        values = (self.used + np.cumsum(lengths) - lengths) << 32 | lengths
+        values = np.empty(len(new), np.int64)
+        values[np.concatenate([np.flatnonzero(met), np.flatnonzero(~met)])] = (self.used + np.cumsum(lengths) - lengths) << 32 | lengths
         self.used += len(more)
         self.table.add(new, values)
         found[lacking] = values[number]
         return found
 
+
+class Chunks:
+    """The 32-bit numbers that a function makes of each chunk, looked up for whole groups of texts.
+
+    Chunks are told apart by 64-bit hashes. Those of a group are hashed and looked
+    up together; only the ones that are not known are made, once each.
+    make: from bytes, and where chunks start and end in them; slow: the numbers of a whole text, for texts with other white space.
+    """
+
+    def __init__(self, make: WordMaker, slow: Callable[[str], bytes], spaced: bool) -> None:
+        self.make, self.slow, self.spaced = make, slow, spaced
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.make.known = Known(SLOTS), Known(SLOTS // 2)
+
     def _group(self, raw: list[bytes]) -> list[np.ndarray]:
         joined, starts, ends, first = chunk_spans(raw, self.spaced)
         hashes = Hashed(joined).substrings(starts, ends) | U(1)
-        parts, total = [], [np.zeros(1, np.int64)]
-        for i in range(0, len(starts), SLOTS // 4):
-            j = i + SLOTS // 4
-            values = self._values(joined, starts[i:j], ends[i:j], hashes[i:j])
-            lengths = values & 0xFFFFFFFF
-            stops = np.cumsum(lengths)
-            row = np.repeat((values >> 32) - (stops - lengths), lengths)
-            row += np.arange(len(row))
-            parts.append(self.store[row])
-            total.append(stops + total[-1][-1])
-        numbers = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        edges = np.concatenate(total)[first].tolist()
+        lengths, numbers = self.known.of(hashes, lambda at: self.make.of(joined, starts[at], ends[at]))
+        edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])[first].tolist()
         return [numbers[a:b] for a, b in itertools.pairwise(edges)]
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -342,9 +420,9 @@ class IdEncoder:
         raw = np.frombuffer(MARK.join(words).encode("utf-8"), np.uint8)
         symbols = self.symbols[raw].tobytes().decode("utf-16-le").split("\n")
         ids: list[int] = []
-        ends, tokenize = [0], self.model.tokenize
+        ends, tokenize, number = [0], self.model.tokenize, attrgetter("id")
         for s in symbols:
-            ids += [t.id for t in tokenize(s)]
+            ids += map(number, tokenize(s))
             ends.append(4 * len(ids))
         all_of = as_bytes(ids)
         return [all_of[a:b] for a, b in itertools.pairwise(ends)]

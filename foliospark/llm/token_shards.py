@@ -115,24 +115,28 @@ def compress(ids: np.ndarray, end_id: int) -> Grammar:
         if not often.any() or base + int(often.sum()) >= 1 << int(half):
             break
         inside = np.repeat(often, counts)
-        found = keys[inside]
-        found &= (_U(1) << place) - _U(1)
-        found <<= _U(24)
-        found |= np.repeat(np.arange(int(often.sum()), dtype=np.uint64), counts[often])
-        found.sort()
-        where = (found >> _U(24)).view(np.int64)
+        place_of = (keys[inside] & ((_U(1) << place) - _U(1))).view(np.int64)
+        number = np.repeat(np.arange(int(often.sum()), dtype=np.int32), counts[often])
+        if len(number) > len(seq) >> 5:  # in the order of places, without a sort
+            rule_at = np.full(len(seq), -1, np.int32)
+            rule_at[place_of] = number
+            where = np.flatnonzero(rule_at >= 0)
+            number = rule_at.take(where)
+        else:
+            order = np.argsort(place_of)
+            where, number = place_of.take(order), number.take(order)
         first_of_run = np.ones(len(where), bool)
         np.not_equal(where[1:], where[:-1] + 1, out=first_of_run[1:])
         heads = np.flatnonzero(first_of_run)
         odd_head = np.repeat(heads & 1, np.diff(heads, append=len(where))).astype(bool)
         alternate = np.flatnonzero(odd_head == (np.arange(len(where), dtype=np.int32) & 1).astype(bool))
-        where, rule = where.take(alternate), found.take(alternate) & _U((1 << 24) - 1)
+        where, rule = where.take(alternate), number.take(alternate)
         pair = pairs[starts[often]]
         new = np.stack([pair >> half, pair & ((_U(1) << half) - _U(1))], 1).astype("int64")
         rules.append(new)
         lengths.append(known[new[:, 0]] + known[new[:, 1]])
         known = np.concatenate([known, lengths[-1]])
-        seq[where] = rule + _U(base)
+        seq[where] = rule + base
         base += len(new)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
